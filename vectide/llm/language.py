@@ -120,14 +120,16 @@ def predict(docs: DataFrame, model: Model, *passed: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passed = passed or ("doc_id",)
+    sent = list(dict.fromkeys(("text", *passed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = shared.value.predict(texts(batch.column(0)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*passed, "lang_pred", "score"])
+            own = [batch.column(sent.index(c)) for c in passed]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*passed, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
-    return docs.select("text", *passed).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*sent).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def fold(modulus: int) -> Column:

@@ -175,10 +175,10 @@ def suspects(keys: DataFrame, bits: int, packed: bytes) -> DataFrame:
     return keys.mapInArrow(run, f"digest binary, doc_id {keys.schema['doc_id'].dataType.simpleString()}")
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, the text without its dropped lines, n_lines (before), n_dropped and kept_sha256 (of that text)."""
+def dedup_lines(docs: DataFrame, *passed: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """doc_id, the text without its dropped lines, n_lines (before), n_dropped, kept_sha256 (of that text), and the columns `passed` of docs."""
     bound_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *passed)
     keys = materialize(key_table(docs, min_chars), "line-keys")
     n_keys = keys.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // 16
     bits = filter_bits(n_keys, max_bits)
@@ -187,14 +187,15 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
     if dropped.count() <= max_broadcast:
         rows = dropped.toArrow()
         last = docs.sparkSession.sparkContext.broadcast(dict(zip(rows["digest"].to_pylist(), rows["last"].to_pylist(), strict=True)))
-        return apply(docs, min_chars, lambda digest, doc_id, _: digest in last.value and last.value[digest] != doc_id)
+        return apply(docs, passed, min_chars, lambda digest, doc_id, _: digest in last.value and last.value[digest] != doc_id)
     # a digest that is in a third of all documents is one row of `dropped`: the join splits its large side (AQE)
-    own = found.join(dropped, "digest").where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.collect_set("digest").alias("drop")).withColumnRenamed("doc_id", "own")
-    return apply(docs.join(own, docs["doc_id"].eqNullSafe(own["own"]), "left").drop("own"), min_chars, lambda digest, _, drop: digest in drop)
+    own = found.join(dropped, "digest").where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.collect_set("digest").alias("__drop")).withColumnRenamed("doc_id", "__own")
+    return apply(docs.join(own, docs["doc_id"].eqNullSafe(own["__own"]), "left").drop("__own"), passed, min_chars, lambda digest, _, drop: digest in drop)
 
 
-def apply(docs: DataFrame, min_chars: int, gone) -> DataFrame:
-    """gone: tells of a digest, a doc_id and the set in a document's third column whether that document loses the line."""
+def apply(docs: DataFrame, passed: tuple[str, ...], min_chars: int, gone) -> DataFrame:
+    """docs: doc_id, text, the columns `passed`, and perhaps a set of digests. gone: tells of a digest, a doc_id and that set whether the document loses the line."""
+    n = 2 + len(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +204,7 @@ def apply(docs: DataFrame, min_chars: int, gone) -> DataFrame:
             own, names = codes(keys.take(pa.array(long)))
             digest = [bytes(x) for x in digests(names)] if len(names) else []
             ids = batch.column(0).to_pylist()
-            sets = [frozenset(x or ()) for x in batch.column(2).to_pylist()] if batch.num_columns > 2 else [None] * len(ids)
+            sets = [frozenset(x or ()) for x in batch.column(n).to_pylist()] if batch.num_columns > n else [None] * len(ids)
             lost = np.zeros(len(lines), bool)
             row = rows[long].tolist()
             lost[long] = np.fromiter((gone(digest[c], ids[r], sets[r]) for c, r in zip(own.tolist(), row, strict=True)), bool, len(long))
@@ -214,6 +215,7 @@ def apply(docs: DataFrame, min_chars: int, gone) -> DataFrame:
                 part = lines.slice(starts[r], n_lines[r]).filter(pa.array(~lost[starts[r] : starts[r + 1]]))
                 kept[r] = "\n".join(part.to_pylist())
             sha = [hashlib.sha256(x.encode()).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "text", "n_lines", "n_dropped", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string()), *batch.columns[2:n]], names=["doc_id", "text", "n_lines", "n_dropped", "kept_sha256", *passed])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_dropped long, kept_sha256 string")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_dropped long, kept_sha256 string{kinds}")

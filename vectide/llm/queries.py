@@ -1,4 +1,4 @@
-"""The queries opN_<name>: each applies its operator, with production parameters, to its whole table."""
+"""The queries opN_<name>: each applies its operator, with production parameters, to its whole intended table."""
 
 from __future__ import annotations
 
@@ -8,18 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_dedup, mixing, near_dup
+from . import bpe, fingerprints, language, line_dedup, mixing, near_dup, quality, toxicity, url_filter, warc
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.fold(3) == 1)
     model = language.train(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
     return language.predict(docs, model, "doc_id", "held_out")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language.fold(4) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    grammar = toxicity.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, grammar, "doc_id", "held_out")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, ids=False)
 
@@ -28,18 +39,35 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
+    "op9_warc": op9_warc,
     "op10_near_dup": op10_near_dup,
 }
