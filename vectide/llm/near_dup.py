@@ -18,11 +18,13 @@ part; it is kept only if no document with a doc_id is in its component, and comp
 5. Links are contracted to components by min-label propagation with pointer jumping; each round's labels are written to the
    shared folder. The next round pairs only classes of one bucket that are in different components, and as long as
    such pairs are many, again against one class for each. The last round takes all pairs of different components that still
-   share a bucket, a bucket's members in blocks, so that a link isn't lost and no task holds a bucket.
+   share a bucket, a bucket's members in blocks, so that a link isn't lost and no task holds a bucket. It comes as soon as
+   a round hasn't halved them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, threshold: float = T
     found = bands(classes)
     shared = found.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     members = materialize(found.join(shared.select("band"), "band"), "buckets")
-    labels, n_classes = None, members.select("class").distinct().count()
+    labels, before, n_classes = None, math.inf, members.select("class").distinct().count()
     for round_ in range(ROUNDS + 1):
         own = members.withColumn("component", F.col("class"))
         if labels is not None:
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, threshold: float = T
             left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
             if not left:
                 break
-            last = round_ == ROUNDS or left <= FEW * n_classes
+            last, before = round_ == ROUNDS or left <= FEW * n_classes or left > before / 2, left
         else:
             last = False
         if last:
@@ -256,14 +258,19 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, threshold: float = T
     return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def all_pairs(own: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes of different components that share a bucket; large buckets in blocks of about BLOCK members."""
-    blocks = own.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    sided = own.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    one = sided.withColumn("other", every).select("band", F.col("block").alias("x"), F.col("other").cast("long").alias("y"), F.col("class").alias("a"), F.col("component").alias("component_a"))
-    two = sided.withColumn("other", every).select("band", F.col("other").cast("long").alias("x"), F.col("block").alias("y"), F.col("class").alias("b"), F.col("component").alias("component_b"))
-    return one.join(two, ["band", "x", "y"]).where(F.col("component_a") < F.col("component_b")).select("a", "b").distinct()
+def all_pairs(own: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) of classes of different components that share a bucket.
+
+    A bucket's members are dealt to blocks of about `block`; only those outside its largest component go to every block.
+    """
+    sizes = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    sided = own.join(sizes, "band")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    one = sided.where(F.col("component") != F.col("main")).select("band", every, F.col("class").alias("a"), F.col("component").alias("component_a"))
+    two = sided.select("band", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.col("class").alias("b"), F.col("component").alias("component_b"), (F.col("component") == F.col("main")).alias("in_main"))
+    once = F.col("in_main") | (F.col("component_a") < F.col("component_b"))
+    return one.join(two, ["band", "block"]).where((F.col("component_a") != F.col("component_b")) & once).select("a", "b").distinct()
 
 
 def joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
