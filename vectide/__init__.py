@@ -1,0 +1 @@
+"""Vector retrieval and analytics on Spark DataFrames."""
