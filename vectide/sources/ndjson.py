@@ -49,10 +49,12 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     """id, values, payload and ord of the points of an export, in file order."""
     reader = spark.read.option("recursiveFileLookup", "true")
     own = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
-    own = own.where(F.trim("value") != "").withColumn("r", F.from_json("value", POINT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})).where(F.coalesce(F.col("r.type") != "collection", F.lit(True)))
+    own = own.where(F.trim("value") != "").withColumn("r", F.from_json("value", POINT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}))
+    head = F.coalesce(F.col("r.type") == "collection", F.lit(False))
     good = F.col("r.bad").isNull() & (F.col("r.type") == "point") & F.col("r.id").isNotNull() & F.col("r.values").isNotNull() & ~F.exists("r.values", lambda x: x.isNull())
-    checked = F.when(F.coalesce(good, F.lit(False)), F.col("r")).otherwise(F.raise_error(F.concat(F.lit("invalid point record: "), F.substring("value", 1, 100))).cast(own.schema["r"].dataType))
-    own = own.withColumn("r", checked)
+    # the header is let through here and dropped below: Spark may evaluate this before the filter
+    checked = F.when(F.coalesce(good, F.lit(False)) | head | (F.trim("value") == ""), F.col("r")).otherwise(F.raise_error(F.concat(F.lit("invalid point record: "), F.substring("value", 1, 100))).cast(own.schema["r"].dataType))
+    own = own.withColumn("r", checked).where(~head)
     return own.select("r.id", "r.values", P.from_variant(F.col("r.payload")).alias("payload"), F.struct("file", "at", "row").alias("ord"))
 
 

@@ -46,16 +46,23 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return own.where(F.trim("value") != "")
 
 
+def checked(own: DataFrame, good: Column, passed_over: Column, what: str) -> DataFrame:
+    """The rows with records; a row that is neither good, blank nor passed over raises. Spark may evaluate the raise before any filter
+    that stands below it, so it has all exceptions in itself."""
+    fault = F.raise_error(F.concat(F.lit(f"invalid {what} record: "), F.substring("value", 1, 100))).cast(own.schema["r"].dataType)
+    fine = good | passed_over | (F.trim("value") == "")
+    return own.withColumn("r", F.when(fine, F.col("r")).otherwise(fault)).where(F.col("r").isNotNull())
+
+
 def read_json_log(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     """Mutations of a log in JSON lines. A last line that isn't ended and can't be parsed was cut off and is dropped; any other bad line raises."""
     own = lines(spark, path).withColumn("r", parsed(F.col("value")))
-    good = F.col("r.type").isin(CREATE, DELETE, UPSERT, REMOVE)
-    store = Store(spark, path)
-    if not store.ends_with_newline(path):
+    good = F.coalesce(F.col("r.type").isin(CREATE, DELETE, UPSERT, REMOVE), F.lit(False))
+    cut = F.lit(False)
+    if not Store(spark, path).ends_with_newline(path):
         last = own.agg(F.max(F.struct("file", "at", "row"))).first()[0]
-        if last is not None:
-            own = own.where(good | (F.col("at") != last["at"]) | (F.col("row") != last["row"]))
-    own = own.withColumn("r", F.when(good, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("invalid log record: "), F.substring("value", 1, 100))).cast(own.schema["r"].dataType)))
+        cut = (F.col("at") == last["at"]) & (F.col("row") == last["row"]) if last is not None else cut
+    own = checked(own, good, cut, "log")
     # places are made dense and ordered: block start first, then the row in the block
     ord_ = F.col("at") * 4294967296 + F.pmod("row", F.lit(8589934592))
     return own.select(*as_mutation(F.lit(version), ord_))
@@ -115,9 +122,10 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         raise invalid("snapshot header must be the first record")
     if head.get("version") != 2:
         raise invalid(f"unsupported snapshot version {head.get('version')}")
-    own = lines(spark, path).withColumn("r", parsed(F.col("value"))).where(F.coalesce(F.col("r.type") != "snapshot_header", F.lit(True)))
-    good = F.col("r.type").isin(CREATE, UPSERT)
-    own = own.withColumn("r", F.when(good, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("invalid snapshot record: "), F.substring("value", 1, 100))).cast(own.schema["r"].dataType)))
+    own = lines(spark, path).withColumn("r", parsed(F.col("value")))
+    good = F.coalesce(F.col("r.type").isin(CREATE, UPSERT, "snapshot_header"), F.lit(False))
+    own = checked(own, good, F.lit(False), "snapshot")
+    own = own.where(F.col("r.type") != "snapshot_header")
     log = own.select(*as_mutation(F.lit(0), F.col("at") * 4294967296 + F.pmod("row", F.lit(8589934592))))
     return fold_collections(log), fold(log).drop("version", "ord")
 
