@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import invalid
 from ..model import Metric
+from ..shipping import ship
 from .search import best_of_each, scored
 
 
@@ -81,6 +82,7 @@ def train(sample: np.ndarray, nlist: int, iterations: int) -> np.ndarray:
 
 def assign(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     """points with list_id: the nearest centroid, ties to the lowest."""
+    ship(points.sparkSession)
     shared = points.sparkSession.sparkContext.broadcast(centroids)
     schema = points.schema.simpleString()[len("struct<") : -1]
     at = points.columns.index("values")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import keeps, rank_score, response_value
 from ..model import Metric
+from ..shipping import ship
 
 #: Queries of a batch from which each partition's hits are found by matrix products.
 KERNEL_QUERIES = 16
@@ -85,6 +86,7 @@ def candidates(points: DataFrame, queries: DataFrame, metric: Metric, k: int) ->
 
     A product differs from the exact sum by rounding only; points within SLACK of the kth are all kept.
     """
+    ship(points.sparkSession)
     rows = queries.select("qid", "q").collect()  # a batch
     qids = np.array([r["qid"] for r in rows], np.int64)
     q = np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)

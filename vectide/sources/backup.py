@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import conflict, invalid
+from ..shipping import ship
 from .store import Store
 
 MANIFEST = "MANIFEST.json"
@@ -57,6 +58,7 @@ def copied(spark: SparkSession, names: list[str], source: str, target: str | Non
             n, s, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array(s, pa.int64()), pa.array(d, pa.string())], names=["name", "size", "sha256"])
 
+    ship(spark)
     frame = spark.createDataFrame([(n,) for n in names], "name string")
     return frame.repartition(max(1, min(len(names), 1000))).mapInArrow(run, "name string, size bigint, sha256 string")
 

@@ -18,6 +18,7 @@ from ..errors import invalid
 from ..functions import payload as P
 from ..model import CREATE, DELETE, REMOVE, UPSERT
 from ..operators.mutations import fold, fold_collections
+from ..shipping import ship
 from .store import Store
 
 RECORD = "type string, version int, name string, dimension int, strict_finite boolean, collection string, id bigint, values array<float>, payload variant, bad string"
@@ -105,6 +106,7 @@ def read_binary_log(spark: SparkSession, path: str, magic: bytes | None = None,
                 found = list(frames(content.as_py(), magic))
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([p.decode() for _, p in found], pa.string())], names=["n", "value"])
 
+    ship(spark)
     own = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "n bigint, value string")
     return own.withColumn("r", parsed(F.col("value"))).select(*as_mutation(F.lit(version), F.col("n")))
 
