@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Bytes of one Arrow batch that goes to a Python worker.
 BATCH_BYTES = 8 << 20
 #: Rows that a side of a join may have at most to be broadcast; every use has narrow rows (below 64 bytes).
@@ -23,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches end at BATCH_BYTES as well as at the row limit: texts can be very long."""
+    """Before any Python work: the workers get the code, and Arrow batches end at BATCH_BYTES as well as at the row limit, as texts can be very long."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
