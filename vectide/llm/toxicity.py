@@ -206,14 +206,21 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tuple[np.n
     design = np.column_stack([x, np.ones(len(x))])
     mean = np.append(MEANS, math.log(prior / (1 - prior)))
     precision = np.diag(np.append(np.full(len(MEANS), 16.0), 1.0))
+
+    def loss(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + (beta - mean) @ precision @ (beta - mean) / 2)
+
     beta = mean.copy()
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         slope = design.T @ (w * (p - y)) + precision @ (beta - mean)
         curve = (design * (w * p * (1 - p))[:, None]).T @ design + precision
-        step = np.linalg.solve(curve, slope)
-        beta = beta - step
-        if np.abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while size > 1e-6 and loss(beta - size * step) > loss(beta):  # a full step can overshoot
+            size /= 2
+        beta = beta - size * step
+        if size * np.abs(step).max() < 1e-6:
             break
     return np.maximum(beta[:-1], 0), float(beta[-1])
 
