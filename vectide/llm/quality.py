@@ -3,10 +3,11 @@ probability of good quality decides.
 
 Each rule looks at counts of the whole text and votes good (1), bad (-1) or abstains (0). Documents with the same votes are
 alike to the model, so EM runs on the counts of vote patterns: at most 3^rules rows reach the driver, whatever the input,
-and they cover all documents. The model: a document is good with probability `prior`; a rule that votes is right with its
-accuracy, independently of the others given the truth. Accuracies start at `START` and stay in [LOW, HIGH], so rules stay
-better than chance and good keeps its meaning; the prior stays in PRIOR. The posterior is then a sum of log odds, evaluated
-by Spark per row.
+and they cover all documents. The model: a document is good with probability `prior`; a rule that votes is right with one
+accuracy on good documents and another on bad ones, independently of the others given the truth. So a rule that looks for one
+kind of junk, and lets the other kinds pass, can be sure when it votes bad and say little when it votes good. EM starts from
+documents without a bad vote as good. Accuracies stay in [LOW, HIGH] and on the right side of chance, so good keeps its
+meaning; the prior stays in PRIOR. An abstention says nothing. The posterior is a sum of log odds, evaluated by Spark per row.
 
 Words are [^\\x20\\x09-\\x0D]+; null text has none. The base test fails texts with under 50 words or with over half of their
 words in repeated 3-word windows, whatever the posterior. Empty texts fail it. An empty table gives an empty result.
@@ -14,7 +15,6 @@ words in repeated 3-word windows, whatever the posterior. Empty texts fail it. A
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, codes, flat_words, materialize, per_row, texts
 
-START, LOW, HIGH, PRIOR, ROUNDS, KEEP = 0.8, 0.55, 0.99, (0.2, 0.95), 50, 0.5
+LOW, HIGH, PRIOR, ROUNDS, KEEP = 0.01, 0.999, (0.2, 0.98), 50, 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha_words", "n_marked_words", "n_upper", "n_letters", "n_ends")
 
@@ -112,7 +112,7 @@ def votes() -> dict[str, Column]:
     size, length = F.col("n_words"), ratio("word_chars", "n_words")
     low = lambda x, good, bad: vote(x, x <= good, x > bad)
     return {
-        "v_size": vote(size, size >= 80, size < 50),
+        "v_size": vote(size, size >= 80, size < 20),
         "v_word_length": vote(length, (length >= 3) & (length <= 12), (length < 2.5) | (length > 20)),
         "v_symbols": low(ratio("n_symbols", "n_words"), 0.05, 0.3),
         "v_marked": low(ratio("n_marked_words", "n_words"), 0.05, 0.3),
@@ -124,21 +124,23 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """The prior and the rules' accuracies from (votes, number of documents) rows."""
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
+    """The prior, and the rules' accuracies on good and on bad documents, from (votes, number of documents) rows."""
     if not patterns:
-        return 0.5, []
+        return 0.5, [], []
     v = np.array([p for p, _ in patterns], float)
     n = np.array([c for _, c in patterns], float)
-    prior, accuracy = 0.7, np.full(v.shape[1], START)
+    good = np.where((v < 0).any(1), 0.05, 0.95)
     for _ in range(rounds):
-        odds = math.log(prior / (1 - prior)) + v @ np.log(accuracy / (1 - accuracy))
-        good = 1 / (1 + np.exp(-odds))
-        right = (n[:, None] * ((v > 0) * good[:, None] + (v < 0) * (1 - good)[:, None])).sum(0)
-        voted = (n[:, None] * (v != 0)).sum(0)
-        accuracy = np.clip((right + 2 * START) / (voted + 2), LOW, HIGH)  # two votes at the start's accuracy steady rare rules
         prior = float(np.clip((n * good).sum() / n.sum(), *PRIOR))
-    return prior, accuracy.tolist()
+        # two votes at 0.8 steady rare rules
+        on_good = ((n * good) @ (v > 0) + 1.6) / ((n * good) @ (v != 0) + 2)
+        on_bad = ((n * (1 - good)) @ (v < 0) + 1.6) / ((n * (1 - good)) @ (v != 0) + 2)
+        on_good, on_bad = np.clip(on_good, LOW, HIGH), np.clip(on_bad, LOW, HIGH)
+        on_bad = np.maximum(on_bad, 1 - on_good)  # votes are never evidence for the other side
+        odds = math.log(prior / (1 - prior)) + (v > 0) @ np.log(on_good / (1 - on_bad)) + (v < 0) @ np.log((1 - on_good) / on_bad)
+        good = 1 / (1 + np.exp(-odds))
+    return prior, on_good.tolist(), on_bad.tolist()
 
 
 def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -147,10 +149,10 @@ def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     # written once: the patterns' counts and the result read it
     voted = materialize(counts(docs).withColumns(rules), "votes")
     rows = voted.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).collect()
-    prior, accuracy = fit(sorted((tuple(r[:-1]), r[-1]) for r in rows))
+    prior, on_good, on_bad = fit(sorted((tuple(r[:-1]), r[-1]) for r in rows))
     odds = F.lit(math.log(prior / (1 - prior)))
-    for name, a in itertools.zip_longest(rules, accuracy, fillvalue=0.5):
-        odds = odds + F.col(name) * F.lit(math.log(a / (1 - a)))
+    for name, g, b in zip(rules, on_good, on_bad, strict=False):
+        odds = odds + F.when(F.col(name) > 0, math.log(g / (1 - b))).when(F.col(name) < 0, math.log((1 - g) / b)).otherwise(0.0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     out = voted.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
     return out.select("doc_id", *COUNTS[:5], "base_failed", (~failed & (F.col("posterior") >= keep)).alias("kept"), "posterior", *rules)
