@@ -18,8 +18,9 @@ part; it is kept only if no document with a doc_id is in its component, and comp
 5. Links are contracted to components by min-label propagation with pointer jumping; each round's labels are written to the
    shared folder. The next round pairs only classes of one bucket that are in different components, and as long as
    such pairs are many, again against one class for each. The last round takes all pairs of different components that still
-   share a bucket, a bucket's members in blocks, so that a link isn't lost and no task holds a bucket. It comes as soon as
-   a round hasn't halved them.
+   share a bucket, so that no link is lost; it comes as soon as a round hasn't halved them. Small buckets give pairs. A large
+   one is dealt to groups of bounded size, which estimate and verify in place and send links only, so neither the rows nor
+   any task grows with the square of a bucket.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ REGISTERS = BANDS * ROWS
 #: Base of the registers, rate of the exponential distribution, largest exponent.
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 MARGIN = 0.15
-#: Rounds of one partner each at most, pairs a class at which they end, members of a block.
-ROUNDS, FEW, BLOCK = 4, 1.0, 256
+#: Rounds of one partner each at most, and pairs a class at which they end.
+ROUNDS, FEW = 4, 1.0
+#: Members from which a bucket is large; outer and inner members of a group of such a bucket, about.
+LARGE, OUTER, BLOCK = 48, 256, 512
 
 _seed = np.random.Generator(np.random.PCG64(20))
 FACTORS = _seed.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -119,12 +122,9 @@ def bands(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, BANDS, ROWS)
-            code = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), own.shape[:2]).copy()
-            for i in range(ROWS):
-                code = code * np.uint64(0x100000001B3) + own[:, :, i].astype(np.uint64) + np.uint64(1)
+            codes_ = band_codes(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2"))
             at = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(code).view(np.int64).ravel()), pa.array(at, pa.int64())], names=["band", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes_.ravel()), pa.array(at, pa.int64())], names=["band", "class"])
 
     return classes.select("class", "registers").mapInArrow(run, "band long, class long")
 
@@ -150,6 +150,20 @@ def likelihood_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.n
     return (low + high) / 2
 
 
+def sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(class, set): the shingle sets of the classes in wanted (class), from the texts again; 8 bytes a shingle."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1), words)
+            ids = nodes(batch.column(0).to_pylist(), [signature(s) if len(s) else None for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    wanted = small(wanted.select(F.col("class").alias("doc_id")).distinct())
+    return rows.join(wanted, "doc_id", "left_semi").union(rows.where(F.col("doc_id").isNull())).mapInArrow(full, "class long, set binary")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
     percent = round(100 * threshold)
@@ -166,18 +180,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     near = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     near = materialize(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(likely, "a long, b long").distinct(), "near-pairs")
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1), words)
-            ids = nodes(batch.column(0).to_pylist(), [signature(s) if len(s) else None for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
-
-    def sets_of(side: str) -> DataFrame:
-        wanted = small(near.select(F.col(side).alias("doc_id")).distinct())
-        rows = docs.select(F.col("doc_id").cast("long"), "text")
-        rows = rows.join(wanted, "doc_id", "left_semi").union(rows.where(F.col("doc_id").isNull()))
-        return rows.mapInArrow(full, "node long, set binary").select(F.col("node").alias(side), F.col("set").alias(f"set_{side}"))
-
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -188,7 +190,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    joined = near.join(sets_of("b"), "b").join(sets_of("a"), "a").select("a", "b", "set_a", "set_b")
+    one, two = (sets_of(near.select(F.col(k).alias("class")), docs, words).select(F.col("class").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
+    joined = near.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b")
     return joined.mapInArrow(linked, "a long, b long").distinct()
 
 
@@ -236,13 +239,16 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, threshold: float = T
         else:
             last = False
         if last:
-            pairs = all_pairs(own)
+            sizes = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+            pairs = all_pairs(own.join(sizes.where(F.col("n") <= LARGE).select("band"), "band"))
+            more = large_bucket_links(own.join(sizes.where(F.col("n") > LARGE).select("band"), "band"), classes, docs, words, threshold)
         else:
             # a member of the bucket, and the component it is in; the others of different components are paired with it
             picked = own.groupBy("band").agg(F.min(_order(round_)).alias("key"))
             picked = own.withColumn("key", _order(round_)).join(picked, ["band", "key"]).select("band", F.col("class").alias("a"), F.col("component").alias("component_a")).distinct()
             pairs = own.join(picked, "band").where(F.col("component") != F.col("component_a")).select("a", F.col("class").alias("b")).distinct()
-        links = materialize(verified(pairs, classes, docs, words, threshold), "links")
+        links = verified(pairs, classes, docs, words, threshold)
+        links = materialize(links.unionByName(more) if last else links, "links")
         if not links.isEmpty():
             labels = materialize(joined_labels(labels, links), "components")
         elif labels is None:
@@ -258,19 +264,82 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, threshold: float = T
     return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def all_pairs(own: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) of classes of different components that share a bucket.
+def all_pairs(own: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes of different components that share a bucket; for buckets of at most LARGE members."""
+    one, two = (own.select("band", F.col("class").alias(k), F.col("component").alias(f"component_{k}")) for k in "ab")
+    return one.join(two, "band").where(F.col("component_a") < F.col("component_b")).select("a", "b").distinct()
 
-    A bucket's members are dealt to blocks of about `block`; only those outside its largest component go to every block.
-    """
+
+def in_blocks(own: DataFrame, outer: int = OUTER, inner: int = BLOCK) -> DataFrame:
+    """(band, x, y, class, component, is_outer): a bucket's members in groups of bounded size, such that each two members of
+    different components are together in a group, one of them as its outer part. Members outside the bucket's largest
+    component are outer in one of the x blocks, for each y; all members are inner in one of the y blocks, for each x."""
     sizes = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    sizes = sizes.select("band", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.n"), outer).alias("xs"), blocks(F.col("all"), inner).alias("ys"))
     sided = own.join(sizes, "band")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    one = sided.where(F.col("component") != F.col("main")).select("band", every, F.col("class").alias("a"), F.col("component").alias("component_a"))
-    two = sided.select("band", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.col("class").alias("b"), F.col("component").alias("component_b"), (F.col("component") == F.col("main")).alias("in_main"))
-    once = F.col("in_main") | (F.col("component_a") < F.col("component_b"))
-    return one.join(two, ["band", "block"]).where((F.col("component_a") != F.col("component_b")) & once).select("a", "b").distinct()
+    dealt = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = sided.where(F.col("component") != F.col("main")).select("band", dealt("xs", "x").alias("x"), every("ys").alias("y"), "class", "component", F.lit(True).alias("is_outer"))
+    two = sided.select("band", every("xs").alias("x"), dealt("ys", "y").alias("y"), "class", "component", F.lit(False).alias("is_outer"))
+    return one.unionByName(two)
+
+
+def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For registers of pairs (pairs x registers): the place of the first band in which both agree, BANDS without one."""
+    same = (a == b).reshape(len(a), BANDS, ROWS).all(2)
+    return np.where(same.any(1), same.argmax(1), BANDS)
+
+
+def band_codes(registers_: np.ndarray) -> np.ndarray:
+    """Sets x BANDS: the band values of sets' registers."""
+    own = registers_.reshape(-1, BANDS, ROWS)
+    code = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), own.shape[:2]).copy()
+    for i in range(ROWS):
+        code = code * np.uint64(0x100000001B3) + own[:, :, i].astype(np.uint64) + np.uint64(1)
+    return mixed(code).view(np.int64)
+
+
+def large_bucket_links(own: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links (a, b) between classes of different components in large buckets, each pair estimated and verified where its block is.
+
+    A pair is looked at in the first band that both share only, and not any more once its outer class is linked to the other's
+    component. So no pairs are sent, only members with their sets, a bounded number to a group.
+    """
+    percent = round(100 * threshold)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        band = key[0].as_py()
+        ids, component = (table.column(c).to_numpy() for c in ("class", "component"))
+        outer = table.column("is_outer").to_numpy(zero_copy_only=False).astype(bool)
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        n = np.array([len(s) for s in sets], float)
+        place = int(np.flatnonzero(band_codes(regs[:1])[0] == band)[0])
+        inner, hashed, found = np.flatnonzero(~outer), {}, []
+        for i in np.flatnonzero(outer).tolist():
+            own_set, done = set(sets[i].tolist()), set()
+            to = inner[(component[inner] != component[i]) & (100 * np.minimum(n[inner], n[i]) >= percent * np.maximum(n[inner], n[i]))]
+            to = to[first_shared(regs[to], np.broadcast_to(regs[i], (len(to), REGISTERS))) == place]
+            estimate = likelihood_estimate(regs[to], np.broadcast_to(regs[i], (len(to), REGISTERS)), n[to], np.full(len(to), n[i])) if len(to) else np.zeros(0)
+            order = np.argsort(-estimate, kind="stable")
+            for j in to[order][estimate[order] >= threshold - MARGIN].tolist():
+                if component[j] in done:
+                    continue
+                other = hashed.get(j)
+                if other is None:
+                    other = hashed[j] = set(sets[j].tolist())
+                shared = len(own_set & other)
+                if 100 * shared >= percent * (len(own_set) + len(other) - shared):
+                    done.add(component[j])
+                    found.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    own = materialize(own, "large-buckets")
+    carried = classes.join(small(own.select("class").distinct()), "class", "left_semi").select("class", "registers").join(sets_of(own, docs, words), "class")
+    grouped = in_blocks(own).join(carried, "class").groupBy("band", "x", "y")
+    return grouped.applyInArrow(run, "a long, b long").distinct()
 
 
 def joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
