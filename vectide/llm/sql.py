@@ -66,4 +66,37 @@ WITH RECURSIVE worded AS (
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN least USING (doc_id)
 """
 
-ORACLES = {"op5_mixing": OP5, "op8_line_dedup": OP8, "op10_near_dup": OP10}
+OP9 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h
+"""
+
+
+def _op7(steps: int = 12) -> str:
+    """The propagation is unrolled: a pair of tables for each step."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rules = [("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "net", "/")]  # longest first
+    case = lambda value: " ".join(f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(a, h, p)}'" for a, h, p in rules)
+    parts = [
+        f"""u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{upper}', '{lower}') AS host,
+        regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages)""",
+        f"r AS (SELECT *, CASE {case(lambda a, h, p: h + p)} END AS rule, CASE {case(lambda a, h, p: a)} END AS action FROM u)",
+        "h AS (SELECT host, count(*) FILTER (WHERE action = 'allow') / count(*) AS allowed, count(*) FILTER (WHERE action = 'block') / count(*) AS blocked FROM r WHERE host <> '' GROUP BY host)",
+        f"""l AS (SELECT host AS source, translate(unnest(regexp_extract_all(html, '\\bhref\\s*=\\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''<>\\s]+)', 1, 'i')), '{upper}', '{lower}') AS target FROM r WHERE host <> '')""",
+        "e AS (SELECT source, target, count(*)::DOUBLE AS weight FROM l WHERE source <> target GROUP BY 1, 2)",
+    ]
+    for kind, source, target, share in (("t", "source", "target", "allowed"), ("d", "target", "source", "blocked")):
+        parts.append(f"f{kind} AS (SELECT {source} AS source, {target} AS target, weight / sum(weight) OVER (PARTITION BY {source}) AS part FROM e)")
+        parts.append(f"s{kind} AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS mass FROM h WHERE {share} > 0.5)")
+        parts.append(f"{kind}0 AS (SELECT host, mass AS rank FROM s{kind})")
+        for i in range(1, steps + 1):
+            parts.append(f"{kind}{i} AS (SELECT host, sum(rank) AS rank FROM (SELECT target AS host, 0.85::DOUBLE * rank * part AS rank FROM {kind}{i - 1} JOIN f{kind} ON host = source UNION ALL SELECT host, 0.15::DOUBLE * mass FROM s{kind}) GROUP BY host)")
+    return f"""WITH {', '.join(parts)}
+    SELECT page_id, r.host, path, rule, coalesce(action, CASE WHEN coalesce(d{steps}.rank, 0) > coalesce(t{steps}.rank, 0) AND allowed <= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM r LEFT JOIN h ON r.host = h.host LEFT JOIN t{steps} ON r.host = t{steps}.host LEFT JOIN d{steps} ON r.host = d{steps}.host"""
+
+
+ORACLES = {"op5_mixing": OP5, "op7_url_filter": _op7(), "op8_line_dedup": OP8, "op9_warc": OP9, "op10_near_dup": OP10}
