@@ -68,13 +68,13 @@ def test_repeat_words(texts):
 
 
 def test_em_tells_sure_rules_from_blind_ones():
-    # rule 0 sees one kind of junk, rule 1 another, rule 2 votes at random
-    clean, a, b = (1, 1), (-1, 1), (1, -1)
-    patterns = [((*kind, vote), n // 2) for kind, n in ((clean, 800), (a, 120), (b, 80)) for vote in (1, -1)]
+    # rules 0 and 1 see kinds of junk that seldom meet, rule 2 sees none and calls everything good
+    clean, a, b = (1, 1, 1), (-1, 1, 1), (1, -1, 1)
+    patterns = [(clean, 800), (a, 90), (b, 60), ((-1, -1, 1), 50)]
     prior, on_good, on_bad = quality.fit(patterns)
     odds = lambda p: math.log(prior / (1 - prior)) + sum(math.log(g / (1 - x)) if v > 0 else math.log((1 - g) / x) for v, g, x in zip(p, on_good, on_bad, strict=True))
-    assert odds((*clean, 1)) > 0 and odds((*a, 1)) < 0 and odds((*b, 1)) < 0
-    assert min(on_good[:2]) > 0.95 and max(on_bad[:2]) < 0.8 and 0.6 < prior < 0.95
+    assert odds(clean) > 0 and odds(a) < 0 and odds(b) < 0
+    assert min(on_good) > 0.95 and on_bad[2] < 0.05 < min(on_bad[:2]) and 0.7 < prior < 0.9
 
 
 def test_language(spark):
@@ -125,7 +125,7 @@ def test_toxicity_learns_words_and_stems(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)] + [(None, 1, 1), (9999, 1, None)], "doc_id long, quality int, toxic int")
     grammar = toxicity.train(docs, labels)
     assert {"zorgl~", "blarg$"} <= set(grammar.entries)
-    rows = {r.doc_id: r for r in toxicity.score(frame(spark, [texts[0], texts[1], "so zorglqq", None, "", "zorgl", "nothing " * 9000 + "blarg"]), grammar).collect()}
+    rows = {r.doc_id: r for r in toxicity.score(frame(spark, [texts[0], texts[1], "so zorglqq", None, "", "zo", "nothing " * 9000 + "blarg"]), grammar).collect()}
     assert [rows[i].predicted for i in range(7)] == [1, 0, 1, 0, 0, 0, 1]
     assert all(0 <= r.score <= 1 for r in rows.values())
     unlabelled = toxicity.train(docs, labels.limit(0))

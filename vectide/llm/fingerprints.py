@@ -8,7 +8,7 @@ The likeness is twice the number of blocks in matched branches over the blocks o
 equal). Two texts without blocks that differ, as in white space, have the likeness 0.
 
 The fingerprint as a string: root `:` sections, joined by `/`; a section is paragraphs, joined by `,`; a paragraph is its
-blocks' hashes, 3 bytes each as 4 characters of base64. The upper hashes follow from the blocks'.
+blocks' hashes, 3 bytes each as 4 characters of URL-safe base64. The upper hashes follow from the blocks'.
 
 Null text is empty. Each document is compared with the next in ascending doc_id (null first, ties by text), the last with
 the first. Documents go to ranges of doc_id, the only shuffle of the texts; each range gets the first document of the next
@@ -63,12 +63,12 @@ def root(text: bytes) -> str:
 
 def fingerprint(text: bytes, own: list[list[bytes]] | None = None) -> str:
     own = tree(text, {}) if own is None else own
-    return f"{root(text)}:" + "/".join([",".join([base64.b64encode(p).decode() for p in s]) for s in own])
+    return f"{root(text)}:" + "/".join([",".join([base64.urlsafe_b64encode(p).decode() for p in s]) for s in own])
 
 
 def parsed(value: str) -> tuple[str, list[list[bytes]]]:
     top, _, rest = value.partition(":")
-    return top, [[base64.b64decode(p) for p in s.split(",")] for s in rest.split("/")] if rest else []
+    return top, [[base64.urlsafe_b64decode(p) for p in s.split(",")] for s in rest.split("/")] if rest else []
 
 
 def unmatched(a: list, b: list) -> tuple[list, list]:

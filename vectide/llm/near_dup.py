@@ -278,7 +278,7 @@ def in_blocks(own: DataFrame, outer: int = OUTER, inner: int = BLOCK) -> DataFra
     sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
     sizes = sizes.select("band", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.n"), outer).alias("xs"), blocks(F.col("all"), inner).alias("ys"))
-    sided = own.join(sizes, "band")
+    sided = own.join(small(sizes), "band")
     dealt = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = sided.where(F.col("component") != F.col("main")).select("band", dealt("xs", "x").alias("x"), every("ys").alias("y"), "class", "component", F.lit(True).alias("is_outer"))

@@ -6,8 +6,8 @@ alike to the model, so EM runs on the counts of vote patterns: at most 3^rules r
 and they cover all documents. The model: a document is good with probability `prior`; a rule that votes is right with one
 accuracy on good documents and another on bad ones, independently of the others given the truth. So a rule that looks for one
 kind of junk, and lets the other kinds pass, can be sure when it votes bad and say little when it votes good. EM starts from
-documents without a bad vote as good. Accuracies stay in [LOW, HIGH] and on the right side of chance, so good keeps its
-meaning; the prior stays in PRIOR. An abstention says nothing. The posterior is a sum of log odds, evaluated by Spark per row.
+documents without a bad vote as good. Accuracies stay in ON_GOOD and ON_BAD and on the right side of chance, so good keeps
+its meaning and a rule that votes at random can't split the documents; the prior stays in PRIOR. An abstention says nothing. The posterior is a sum of log odds, evaluated by Spark per row.
 
 Words are [^\\x20\\x09-\\x0D]+; null text has none. The base test fails texts with under 50 words or with over half of their
 words in repeated 3-word windows, whatever the posterior. Empty texts fail it. An empty table gives an empty result.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, codes, flat_words, materialize, per_row, texts
 
-LOW, HIGH, PRIOR, ROUNDS, KEEP = 0.01, 0.999, (0.2, 0.98), 50, 0.5
+ON_GOOD, ON_BAD, PRIOR, ROUNDS, KEEP = (0.9, 0.999), (0.01, 0.999), (0.2, 0.98), 50, 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha_words", "n_marked_words", "n_upper", "n_letters", "n_ends")
 
@@ -136,7 +136,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tu
         # two votes at 0.8 steady rare rules
         on_good = ((n * good) @ (v > 0) + 1.6) / ((n * good) @ (v != 0) + 2)
         on_bad = ((n * (1 - good)) @ (v < 0) + 1.6) / ((n * (1 - good)) @ (v != 0) + 2)
-        on_good, on_bad = np.clip(on_good, LOW, HIGH), np.clip(on_bad, LOW, HIGH)
+        on_good, on_bad = np.clip(on_good, *ON_GOOD), np.clip(on_bad, *ON_BAD)
         on_bad = np.maximum(on_bad, 1 - on_good)  # votes are never evidence for the other side
         odds = math.log(prior / (1 - prior)) + (v > 0) @ np.log(on_good / (1 - on_bad)) + (v < 0) @ np.log((1 - on_good) / on_bad)
         good = 1 / (1 + np.exp(-odds))
