@@ -103,8 +103,8 @@ def nodes(ids: list, signatures: list) -> list:
     return [NO_ID | int.from_bytes(s[:7]) if i is None and s else i for i, s in zip(ids, signatures, strict=True)]
 
 
-def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, n_shingles, sig and registers of every row; the last three null for an empty set."""
+def sketch(docs: DataFrame, words: int, *passed: str) -> DataFrame:
+    """doc_id, node, n_shingles, sig and registers of every row, and its columns `passed`; sig and registers are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +112,10 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             sig = [signature(s) if len(s) else None for s in sets]
             own = [registers(s).tobytes() if len(s) else None for s in sets]
             ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes(ids, sig), pa.int64()), pa.array(map(len, sets), pa.int64(), size=len(sets)), pa.array(sig, pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "node", "n_shingles", "sig", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes(ids, sig), pa.int64()), pa.array(map(len, sets), pa.int64(), size=len(sets)), pa.array(sig, pa.binary()), pa.array(own, pa.binary()), *batch.columns[2:]], names=["doc_id", "node", "n_shingles", "sig", "registers", *passed])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n_shingles long, sig binary, registers binary")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
+    return docs.select(F.col("doc_id").cast("long"), "text", *passed).mapInArrow(run, f"doc_id long, node long, n_shingles long, sig binary, registers binary{kinds}")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -214,11 +215,11 @@ def _order(round_: int) -> Column:
     return F.col("class") if round_ == 0 else F.xxhash64("class", F.lit(round_))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, *passed: str, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text), and its columns `passed`, whose names none of the others has."""
     bound_batches(docs.sparkSession)
+    rows = materialize(sketch(docs, words, *passed), "sketches")
     docs = docs.select("doc_id", "text")
-    rows = materialize(sketch(docs, words), "sketches")
     classes = materialize(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("node").alias("class"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
     found = bands(classes)
     shared = found.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
@@ -257,11 +258,11 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, threshold: float = T
             break
     by_sig = classes.select("sig", F.col("class").alias("node"))
     by_sig = by_sig.join(labels, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    result = rows.select("doc_id", "node", "n_shingles", "sig").join(by_sig, "sig", "left").withColumn("component", F.coalesce("component", "node"))
+    result = rows.select("doc_id", "node", "n_shingles", "sig", *passed).join(by_sig, "sig", "left").withColumn("component", F.coalesce("component", "node"))
     component = F.when(F.col("component") < NO_ID, F.col("component"))
     # node stands for a null doc_id; an empty set without doc_id has no node and no component
     kept = F.coalesce(F.col("node") == F.col("component"), F.lit(True))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *passed)
 
 
 def all_pairs(own: DataFrame) -> DataFrame:
