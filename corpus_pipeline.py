@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import bpe, language, line_dedup, mixing, near_dup
-from vectide.llm.common import new_path, table
+from vectide.llm.common import materialize, new_path, small, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts whose language is less probable than this are rejected.
@@ -34,9 +34,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates stays: the one with the smallest doc_id. Rows that repeat a doc_id and its
+    text are one document. Rows are told apart by doc_id and a digest of the text; the texts are shuffled only if those that go
+    are too many to broadcast."""
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    marked = docs.select(*COLUMNS, digest.alias("digest__"))
+    found = materialize(near_dup.near_duplicates(marked, "digest__").select("doc_id", "digest__", "kept"), "near-duplicates")
+    gone = small(found.where(~F.col("kept")).select(F.col("doc_id").alias("id__"), F.col("digest__").alias("gone__")).distinct())
+    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("digest__") == F.col("gone__")), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "digest__").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():
+        again = small(again.select(F.col("doc_id").alias("id__"), F.col("digest__").alias("gone__")))
+        same = F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("digest__") == F.col("gone__"))
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "digest__"]))
+    return left.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
