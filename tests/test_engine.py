@@ -198,3 +198,25 @@ def test_export_and_import(engine, tmp_path):
     engine.create_collection("other", 3)
     fails("conflict", engine.import_, path, "other", "append")
     fails("invalid_argument", engine.import_, path, "x", "maybe")
+
+
+def test_sessions(engine):
+    from vectide.plans.session import RateWindows, Session
+
+    clock = [0.0]
+    rates = RateWindows(3, 1, lambda: clock[0])
+    own = Session(engine, "t", ["write"], rates)
+    own.create_collection("c", 2)
+    own.upsert_point("c", 1, [1, 0])
+    assert own.search_topk("c", [1, 0])["hits"][0]["id"] == 1
+    fails("resource_exhausted", own.list_points, "c")
+    clock[0] = 61
+    assert own.list_points("c")["points"] == [1] and own.distance([1, 2], [3, 4]) == 11
+    reader = Session(engine, "t", ["read"])
+    assert reader.get_point("c", 1)["values"] == [1, 0]
+    fails("permission_denied", reader.delete_collection, "c")
+    fails("permission_denied", Session(engine, "t", []).get_point, "c", 1)
+    fails("not_found", Session(engine, "other").get_point, "c", 1)
+    clock[0] = 400
+    Session(engine, "u", ["read"], rates).list_collections()
+    assert set(rates.windows) == {"u"}

@@ -99,6 +99,23 @@ def assign(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     return points.mapInArrow(run, f"{schema}, list_id int")
 
 
+def mean_vectors(points: DataFrame, by: str) -> DataFrame:
+    """by, position, mean: the mean vector of each group, element by element; partial sums, so a group's size doesn't matter."""
+    return points.select(by, F.posexplode("values").alias("position", "x")).groupBy(by, "position").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def nearest(points: DataFrame, centroids: DataFrame, n_centroids: int | None = None) -> DataFrame:
+    """id, list_id, distance (squared): the nearest of a few centroids (list_id, centroid) of each point, ties to the lowest list."""
+    from ..functions.vector import l2_squared
+
+    n = centroids.count() if n_centroids is None else n_centroids
+    if n > IvfConfig().max_lists:
+        raise invalid(f"{n} centroids are over {IvfConfig().max_lists}")
+    pairs = points.select("id", "values").crossJoin(F.broadcast(centroids))
+    best = F.min(F.struct(l2_squared(F.col("values"), F.col("centroid")).alias("distance"), "list_id")).alias("best")
+    return pairs.groupBy("id").agg(best).select("id", "best.list_id", "best.distance")
+
+
 def build(points: DataFrame, n: int, version: int = 0, config: IvfConfig = IvfConfig(), path: str | None = None) -> IvfIndex:
     """points: id, values and what filters read. path: where the lists are stored, partitioned by list; else they are assigned when read."""
     if n < config.min_points:

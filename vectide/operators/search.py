@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import keeps, rank_score, response_value
 from ..model import Metric
+from ..plans.sizes import broadcast_if_small
 from ..shipping import ship
 
 #: Queries of a batch from which each partition's hits are found by matrix products.
@@ -53,6 +54,11 @@ def top_k(points: DataFrame, query: Sequence[float], metric: Metric, k: int, whe
     return with_payload(hits, points, *payload) if payload else hits
 
 
+def among(points: DataFrame, ids: DataFrame) -> DataFrame:
+    """The points whose id is in ids (id)."""
+    return points.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi")
+
+
 def top_1(points: DataFrame, query: Sequence[float], metric: Metric, where: Column | None = None, **options) -> DataFrame:
     return top_k(points, query, metric, 1, where, **options)
 

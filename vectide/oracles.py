@@ -96,6 +96,9 @@ ORACLES: dict[str, str] = {
     "topk_batch_small": _batch("l2", 4),
     "topk_batch_filtered": _event_batch("l2", 5, "p.event_type = 'click'", ", event_type"),
     "late_payload": _top("dot", 15),
+    "topk_candidates": _top("cosine", 12, True, "label = 4 OR vec_id % 7 = 0"),
+    "centroid_means": "WITH p AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS position FROM embeddings) SELECT label, position, round(avg(x::DOUBLE), 6) + 0.0 AS mean FROM p GROUP BY 1, 2",
+    "nearest_centroid": f"WITH s AS (SELECT p.vec_id AS id, c.vec_id::INT AS list_id, {_score('l2', 'p.embedding', 'c.embedding')} AS distance FROM embeddings p, embeddings c WHERE c.vec_id < 10), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, list_id) AS turn FROM s) SELECT id, list_id, distance FROM r WHERE turn = 1",
     "count_points": "SELECT count(*) AS count FROM events",
     "count_filtered": f"WITH {_EVENTS} SELECT count(*) AS count FROM ev WHERE {_MIXED}",
     "list_offset": "SELECT o_orderkey AS id FROM orders ORDER BY 1 LIMIT 100 OFFSET 500",

@@ -11,7 +11,7 @@ from .functions import filters, vector
 from .functions import payload as P
 from .model import CREATE, MUTATION_KINDS, MUTATIONS, PAYLOAD, REMOVE, UPSERT, Metric, Mode
 from .operators import ivf, mutations, paging, quotas, reports
-from .operators.search import scored, top_1, top_k, top_k_batch, with_payload
+from .operators.search import among, scored, top_1, top_k, top_k_batch, with_payload
 from .plans import planner
 from .plans.workdir import new_folder
 from .sources import ndjson, records
@@ -134,6 +134,25 @@ def _batch(metric: Metric, n: int, k: int = 10):
     return run
 
 
+def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a list of candidate ids."""
+    points = embeddings(spark, sf_dir)
+    ids = points.where(F.col("label") == 4).select("id").unionByName(points.where(F.col("id") % 7 == 0).select("id"))
+    return top_k(among(points, ids), first_vector(points), Metric.COSINE, 12, payload=["label"])
+
+
+def centroid_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = ivf.mean_vectors(embeddings(spark, sf_dir), "label")
+    return own.select("label", "position", (F.round("mean", 6) + 0.0).alias("mean"))
+
+
+def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding's nearest of the first ten."""
+    points = embeddings(spark, sf_dir)
+    centroids = points.where("id < 10").select(F.col("id").cast("int").alias("list_id"), F.col("values").alias("centroid"))
+    return ivf.nearest(points, centroids)
+
+
 def topk_batch_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = events(spark, sf_dir)
     queries = points.where(F.col("id") < 20).select(F.col("id").alias("qid"), F.col("values").alias("q"))
@@ -430,6 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"topk_batch_{m.value}": _batch(m, 32) for m in Metric},
     "topk_batch_small": _batch(Metric.L2, 4),
     "topk_batch_filtered": topk_batch_filtered,
+    **{f.__name__: f for f in (topk_candidates, centroid_means, nearest_centroid)},
     "late_payload": late_payload,
     **{f.__name__: f for f in (count_points, count_filtered, list_offset, list_after, list_total, point_get, collections_list)},
     **{f.__name__: f for f in (ivf_full_probe_l2, ivf_default_probe, ivf_filtered_dot, recall_at_10, ivf_probe_count, ivf_list_sizes, planner_choices)},
