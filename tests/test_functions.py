@@ -40,10 +40,10 @@ def test_distances(spark, n):
 
 def test_zero_norm_and_finite(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [float("nan"), 0.0]), (4, [float("inf"), 1.0]), (5, [3e38, 3e38])], "id long, values array<float>")
-    assert {r.id for r in search.scored(rows, [1.0, 0.0], Metric.COSINE).collect()} == {2, 5}
-    assert {r.id for r in search.scored(rows, [1.0, 0.0], Metric.DOT).collect()} == {1, 2, 5}
-    assert {r.id for r in search.scored(rows, [1.0, 0.0], Metric.L2, strict_finite=True).collect()} == {1, 2, 4, 5}
-    assert {r.id for r in search.scored(rows, [1.0, 0.0], Metric.L2, strict_finite=False).collect()} == {1, 2, 5}
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "qid long, q array<float>")
+    for metric, strict, expected in ((Metric.COSINE, True, {2, 5}), (Metric.DOT, True, {1, 2, 5}), (Metric.L2, True, {1, 2, 4, 5}), (Metric.L2, False, {1, 2, 5})):
+        assert {r.id for r in search.top_k(rows, [1.0, 0.0], metric, 10, strict_finite=strict).collect()} == expected
+        assert {r.id for r in search.top_k_batch(rows, queries, metric, 10, strict_finite=strict).collect()} == expected
     assert {r.id for r in rows.where(vector.all_finite(F.col("values"))).collect()} == {1, 2, 5}
     for bad in ([], [1.0], [1.0, float("nan")]):
         with pytest.raises(EngineError):

@@ -6,6 +6,7 @@ All are Catalyst expressions, so a score is computed in the scan's own stage and
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -79,17 +80,17 @@ def response_value(score: Column, metric: Metric) -> Column:
     return F.sqrt(score) if metric == Metric.L2 else score
 
 
-def is_finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-
-
 def all_finite(values: Column) -> Column:
     return ~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
 
 
-def keeps(score: Column, metric: Metric, strict_finite: bool) -> Column:
-    """Which candidates stay: finite scores; strict collections keep an L2 that has overflowed."""
-    return score.isNotNull() & ~F.isnan(score) if metric == Metric.L2 and strict_finite else is_finite(score)
+def or_null(score: Column, metric: Metric, strict_finite: bool) -> Column:
+    """The score, or null if it can't be ranked: only finite scores can, and in strict collections an L2 that has overflowed.
+
+    NaN is over every bound here. The score stands in the expression once: a filter on it would compute it again for each test.
+    """
+    most = math.inf if metric == Metric.L2 and strict_finite else sys.float_info.max
+    return F.get(F.filter(F.array(score), lambda x: F.abs(x) <= F.lit(most)), F.lit(0))
 
 
 def check_vector(values: Sequence[float], dimension: int | None = None, finite: bool = True, what: str = "vector") -> list[float]:

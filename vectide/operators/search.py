@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import keeps, rank_score, response_value
+from ..functions.vector import or_null, rank_score, response_value
 from ..model import Metric
 from ..plans.sizes import broadcast_if_small
 from ..shipping import ship
@@ -25,15 +25,15 @@ KERNEL_POINTS = 2048
 
 
 def order(score: Column, metric: Metric) -> list[Column]:
-    """Best first: L2 ascending, others descending, then id ascending."""
-    return [score.asc() if metric == Metric.L2 else score.desc(), F.col("id").asc()]
+    """Best first: L2 ascending, others descending, then id ascending; what can't be ranked comes last."""
+    return [score.asc_nulls_last() if metric == Metric.L2 else score.desc_nulls_last(), F.col("id").asc()]
 
 
 def scored(points: DataFrame, query: Sequence[float] | Column, metric: Metric, where: Column | None = None, strict_finite: bool = True) -> DataFrame:
-    """id and score of the points that the filter lets through and that can be ranked; points: id, values and what the filter reads."""
+    """id (and qid) and score of the points that the filter lets through, null if they can't be ranked; points: id, values and what
+    the filter reads. Null scores are dropped after the cut to k, where they are the last: a filter here would compute scores twice."""
     own = points if where is None else points.where(where)
-    found = own.select("id", *(["qid"] if "qid" in own.columns else []), rank_score(F.col("values"), query, metric).alias("score"))
-    return found.where(keeps(F.col("score"), metric, strict_finite))
+    return own.select("id", *(["qid"] if "qid" in own.columns else []), or_null(rank_score(F.col("values"), query, metric), metric, strict_finite).alias("score"))
 
 
 def ranked(best: DataFrame, metric: Metric) -> DataFrame:
@@ -49,7 +49,7 @@ def with_payload(hits: DataFrame, points: DataFrame, *columns: str) -> DataFrame
 
 def top_k(points: DataFrame, query: Sequence[float], metric: Metric, k: int, where: Column | None = None, *, strict_finite: bool = True, payload: Sequence[str] = ()) -> DataFrame:
     """rank, id, value and the columns `payload` of the k best points."""
-    best = scored(points, query, metric, where, strict_finite).orderBy(*order(F.col("score"), metric)).limit(k)
+    best = scored(points, query, metric, where, strict_finite).orderBy(*order(F.col("score"), metric)).limit(k).where(F.col("score").isNotNull())
     hits = ranked(best, metric)
     return with_payload(hits, points, *payload) if payload else hits
 
@@ -66,7 +66,7 @@ def top_1(points: DataFrame, query: Sequence[float], metric: Metric, where: Colu
 def best_of_each(found: DataFrame, metric: Metric, k: int) -> DataFrame:
     """qid, rank, id and value of the k best rows (qid, id, score) of each query; Spark cuts to k before and after the exchange."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order(F.col("score"), metric)))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", response_value(F.col("score"), metric).alias("value"))
+    return found.withColumn("rank", rank).where((F.col("rank") <= k) & F.col("score").isNotNull()).select("qid", "rank", "id", response_value(F.col("score"), metric).alias("value"))
 
 
 def top_k_batch(points: DataFrame, queries: DataFrame, metric: Metric, k: int, where: Column | None = None, *, strict_finite: bool = True, payload: Sequence[str] = (), n_queries: int | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ def _distance(metric: Metric):
 def cosine_zero_norm_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = embeddings(spark, sf_dir).select("id", "values")
     zero = points.where("id < 5").select((-1 - F.col("id")).alias("id"), F.transform("values", lambda x: x * F.lit(0).cast("float")).alias("values"))
-    return scored(points.unionByName(zero), first_vector(points), Metric.COSINE).select(F.col("id").alias("vec_id"), F.col("score").alias("value"))
+    return scored(points.unionByName(zero), first_vector(points), Metric.COSINE).where(F.col("score").isNotNull()).select(F.col("id").alias("vec_id"), F.col("score").alias("value"))
 
 
 def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
