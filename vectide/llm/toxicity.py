@@ -13,6 +13,9 @@ logistic regression over the sums of strengths of each type, drawn to the gramma
 those as they are. Learning uses a bounded sample: about TOXIC and OTHER labelled documents, those with the smallest hashes
 of doc_id, one of each group of near copies. With enough of them one half learns the words and the other half the weights.
 
+A text that is longer than the sample's average has more chances of a match by accident: each match there loses the logarithm
+of how much longer it is.
+
 Scoring reads whole texts. Null, empty and wordless texts have no match and the score of the bias alone. Rows without a label
 or with a null doc_id aren't learned from; without any toxic label the grammar's own weights and words are used. Repeated
 rows get equal scores.
@@ -97,9 +100,9 @@ def clause_type(symbols: list[int], at: int) -> int:
 class Grammar:
     """Words with strengths, and the weights of the clause types."""
 
-    def __init__(self, entries: dict[str, float], weights: np.ndarray | None = None, bias: float = -2.0):
-        """entries: `word$` for a whole word, `stem~` for a longer word's beginning."""
-        self.entries, self.bias = entries, bias
+    def __init__(self, entries: dict[str, float], weights: np.ndarray | None = None, bias: float = -2.0, typical: float = 500.0):
+        """entries: `word$` for a whole word, `stem~` for a longer word's beginning. typical: the sample's average number of words."""
+        self.entries, self.bias, self.typical = entries, bias, typical
         self.weights = MEANS.copy() if weights is None else weights
         self.known: dict[str, tuple[int, float, bool, bool]] = {}
 
@@ -142,6 +145,7 @@ class Grammar:
         if not len(own):
             return out
         stream, ends = symbol[own], border[own]
+        longer = np.log(np.maximum(1, np.bincount(rows, minlength=len(column)) / self.typical))
         for i in np.flatnonzero((stream == INSULT) | (stream == THREAT)).tolist():
             low, high = max(0, i - BACK), min(len(own), i + AHEAD + 1)
             near, at = [], 0
@@ -153,7 +157,7 @@ class Grammar:
                 near.append(int(stream[j]))
                 if ends[j]:
                     near.append(BORDER)
-            out[rows[i], clause_type(near, at)] += strength[own[i]]
+            out[rows[i], clause_type(near, at)] += max(0.0, strength[own[i]] - longer[rows[i]])
         return np.minimum(out, MOST)
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -252,7 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = O
     sample, sizes = labelled_sample(docs, labels, toxic, other)
     n = {r[0]: r[1] for r in sample.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
     halves = n.get(1, 0) >= HALVES
-    grammar = Grammar(learn_words(sample.where("half = 0") if halves else sample))
+    typical = sample.agg(F.avg(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")))).first()[0] or 1.0
+    grammar = Grammar(learn_words(sample.where("half = 0") if halves else sample), typical=typical)
     if not n.get(1):
         return grammar
 
