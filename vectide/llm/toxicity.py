@@ -14,7 +14,7 @@ those as they are. Learning uses a bounded sample: about TOXIC and OTHER labelle
 of doc_id, one of each group of near copies. With enough of them one half learns the words and the other half the weights.
 
 A text that is longer than the sample's average has more chances of a match by accident: each match there loses the logarithm
-of how much longer it is.
+of how much longer it is, LONGER at most.
 
 Scoring reads whole texts. Null, empty and wordless texts have no match and the score of the bias alone. Rows without a label
 or with a null doc_id aren't learned from; without any toxic label the grammar's own weights and words are used. Repeated
@@ -59,7 +59,7 @@ BACK, AHEAD = 12, 4
 #: (threat, negated, reported, aimed) and the grammar's own weight of a clause of that type.
 TYPES = list(itertools.product((0, 1), repeat=4))
 MEANS = np.array([(0.3 if threat and not aimed else 1.0) * (0.5 if negated else 1) * (0.6 if reported else 1) * (1.15 if aimed and not threat else 1) for threat, negated, reported, aimed in TYPES])
-THREAT_STRENGTH, GENERAL_STRENGTH, MOST = 3.0, 4.0, 12.0
+THREAT_STRENGTH, GENERAL_STRENGTH, MOST, LONGER = 3.0, 4.0, 12.0, 2.0
 
 
 def fading(trigger: int, span: int) -> list[list[int]]:
@@ -145,7 +145,7 @@ class Grammar:
         if not len(own):
             return out
         stream, ends = symbol[own], border[own]
-        longer = np.log(np.maximum(1, np.bincount(rows, minlength=len(column)) / self.typical))
+        longer = np.minimum(LONGER, np.log(np.maximum(1, np.bincount(rows, minlength=len(column)) / self.typical)))
         for i in np.flatnonzero((stream == INSULT) | (stream == THREAT)).tolist():
             low, high = max(0, i - BACK), min(len(own), i + AHEAD + 1)
             near, at = [], 0
