@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Bytes of one Arrow batch that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Rows that a side of a join may have at most to be broadcast; every use has narrow rows (below 64 bytes).
 BROADCAST_ROWS = 400_000
 
