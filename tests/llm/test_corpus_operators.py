@@ -168,8 +168,9 @@ def near_rows():
 
 
 @pytest.mark.parametrize("words", [4, 5])
-@pytest.mark.parametrize("rounds, few, large", [(4, 1.0, 48), (3, -1.0, 2), (1, 0.0, 0)])
-def test_near_duplicates(spark, monkeypatch, words, rounds, few, large):
+@pytest.mark.parametrize("rounds, few, large, hot", [(4, 1.0, 48, 1000), (3, -1.0, 2, 5), (1, 0.0, 0, 1)])
+def test_near_duplicates(spark, monkeypatch, words, rounds, few, large, hot):
+    monkeypatch.setattr(near_dup, "HOT", hot)
     monkeypatch.setattr(near_dup, "LARGE", large)
     monkeypatch.setattr(near_dup, "ROUNDS", rounds)
     monkeypatch.setattr(near_dup, "FEW", few)

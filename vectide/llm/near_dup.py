@@ -11,7 +11,7 @@ part; it is kept only if no document with a doc_id is in its component, and comp
    close to their similarity J (b is near 1).
 2. Documents with equal sets are one class from here on (a partial aggregation; thousands of copies cost a row a task).
 3. Bands of ROWS registers. Pairs at J = 0.8 share none of the BANDS bands with probability (1 - 0.8^6)^42 = 3e-6.
-   A band value with one class is dropped. For the others a round pairs each class with one class of its bucket: as many
+   A band value with one class is dropped. Rows of hot ones aren't shuffled by band. For the others a round pairs each class with one class of its bucket: as many
    pairs as members, never all pairs of a bucket.
 4. The joint likelihood of the registers' comparisons, given both sets' sizes, estimates J; pairs more than MARGIN (six
    standard deviations) below the threshold go. The others are verified on their full sets.
@@ -47,6 +47,8 @@ MARGIN = 0.15
 ROUNDS, FEW = 4, 1.0
 #: Members from which a bucket is large; outer and inner members of a group of such a bucket, about.
 LARGE, OUTER, BLOCK = 48, 256, 512
+#: Members from which a band value is hot. Of 42 bands of n sets at most 42 n / HOT are.
+HOT = 1000
 
 _seed = np.random.Generator(np.random.PCG64(20))
 FACTORS = _seed.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -222,16 +224,22 @@ def near_duplicates(docs: DataFrame, *passed: str, words: int = WORDS, threshold
     docs = docs.select("doc_id", "text")
     classes = materialize(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("node").alias("class"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
     found = bands(classes)
-    shared = found.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    members = materialize(found.join(shared.select("band"), "band"), "buckets")
+    shared = materialize(found.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("band", (F.col("members") > HOT).alias("hot")), "bands")
+    hot = shared.where("hot")
+    if hot.isEmpty():
+        members = found.join(shared, "band")
+    else:
+        hot = small(hot)
+        members = found.join(hot, "band").unionByName(found.join(hot, "band", "left_anti").join(shared.where(~F.col("hot")), "band"))
+    members = materialize(members, "buckets")
     labels, before, n_classes = None, math.inf, members.select("class").distinct().count()
     for round_ in range(ROUNDS + 1):
         own = members.withColumn("component", F.col("class"))
         if labels is not None:
             known = labels.withColumnRenamed("node", "class").withColumnRenamed("component", "known")
-            own = members.join(known, "class", "left").select("band", "class", F.coalesce("known", "class").alias("component"))
-            mixed_ = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("band")
-            own = materialize(own.join(mixed_, "band"), "open-buckets")
+            own = members.join(known, "class", "left").select("band", "hot", "class", F.coalesce("known", "class").alias("component"))
+            mixed_ = own.groupBy("band", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("band", "hot")
+            own = materialize(by_band(own, mixed_), "open-buckets")
             sizes = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
             left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
             if not left:
@@ -240,14 +248,14 @@ def near_duplicates(docs: DataFrame, *passed: str, words: int = WORDS, threshold
         else:
             last = False
         if last:
-            sizes = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-            pairs = all_pairs(own.join(sizes.where(F.col("n") <= LARGE).select("band"), "band"))
-            more = large_bucket_links(own.join(sizes.where(F.col("n") > LARGE).select("band"), "band"), classes, docs, words, threshold)
+            sizes = own.groupBy("band", "hot").agg(F.count(F.lit(1)).alias("n"))
+            pairs = all_pairs(by_band(own, sizes.where(F.col("n") <= LARGE).select("band", "hot")))
+            more = large_bucket_links(by_band(own, sizes.where(F.col("n") > LARGE).select("band", "hot")), classes, docs, words, threshold)
         else:
             # a member of the bucket, and the component it is in; the others of different components are paired with it
-            picked = own.groupBy("band").agg(F.min(_order(round_)).alias("key"))
-            picked = own.withColumn("key", _order(round_)).join(picked, ["band", "key"]).select("band", F.col("class").alias("a"), F.col("component").alias("component_a")).distinct()
-            pairs = own.join(picked, "band").where(F.col("component") != F.col("component_a")).select("a", F.col("class").alias("b")).distinct()
+            picked = own.groupBy("band", "hot").agg(F.min(F.struct(_order(round_).alias("key"), "class", "component")).alias("best"))
+            picked = picked.select("band", "hot", F.col("best.class").alias("a"), F.col("best.component").alias("component_a"))
+            pairs = by_band(own, picked).where(F.col("component") != F.col("component_a")).select("a", F.col("class").alias("b")).distinct()
         links = verified(pairs, classes, docs, words, threshold)
         links = materialize(links.unionByName(more) if last else links, "links")
         if not links.isEmpty():
@@ -265,6 +273,14 @@ def near_duplicates(docs: DataFrame, *passed: str, words: int = WORDS, threshold
     return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *passed)
 
 
+def by_band(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """rows joined to a row a band. A hot band's rows stay where they are and its row is broadcast; the others meet by shuffle."""
+    if rows.where("hot").isEmpty():
+        return rows.join(side, ["band", "hot"])
+    hot, cold = (rows.where(c).join(small(side.where(c)) if c == "hot" else side.where(c), ["band", "hot"]) for c in ("hot", "NOT hot"))
+    return hot.unionByName(cold)
+
+
 def all_pairs(own: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes of different components that share a bucket; for buckets of at most LARGE members."""
     one, two = (own.select("band", F.col("class").alias(k), F.col("component").alias(f"component_{k}")) for k in "ab")
