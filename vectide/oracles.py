@@ -108,6 +108,12 @@ ORACLES: dict[str, str] = {
     "collections_list": " UNION ALL ".join(f"SELECT '{n}' AS name, {d} AS dimension, count(*) AS point_count FROM {n}" for n, d in (("embeddings", 64), ("events", 4), ("orders", 2), ("part", 2))),
     "ivf_full_probe_l2": _event_batch("l2", 10),
     "ivf_filtered_dot": _event_batch("dot", 5, "p.event_type = 'click'"),
+    "ivf_probe_count": """WITH l AS (SELECT count(*) AS n, least(count(*), greatest(8, least(256, floor(sqrt(count(*)) + 0.5))))::INT AS lists FROM events),
+    c AS (SELECT k, t, lists, greatest(1, least(lists, greatest(8, ceil(k * lists / n))))::INT AS probe FROM l, (SELECT unnest([1, 10, 1000]) AS k), (SELECT unnest([NULL, 0.2, 0.5, 1.0]::DOUBLE[]) AS t))
+    SELECT k, t AS target_recall, CASE WHEN t IS NULL THEN probe ELSE least(lists, greatest(probe, ceil(lists::FLOAT * t::FLOAT)))::INT END AS probes FROM c""",
+    "planner_choices": """WITH r AS (SELECT asked, metric, index_fits, n_queries, (SELECT count(*) FROM events) AS n FROM (SELECT unnest(['exact', 'ivf', 'auto']) AS asked), (SELECT unnest(['dot', 'l2', 'cosine']) AS metric), (SELECT unnest([FALSE, TRUE]) AS index_fits), (SELECT unnest([1, 32]) AS n_queries)),
+    c AS (SELECT *, asked = 'exact' OR (asked = 'auto' AND (metric <> 'l2' OR n < 256 OR n_queries >= 16)) AS plain FROM r)
+    SELECT asked, metric, index_fits, n_queries, CASE WHEN NOT plain AND index_fits THEN 'ivf' ELSE 'exact' END AS mode, NOT plain AND NOT index_fits AS wants_index, NOT plain AND NOT index_fits AND asked = 'ivf' AS fallback FROM c""",
     **{n: _FOLD for n in ("log_fold", "log_store_fold", "ndjson_roundtrip", "json_log_roundtrip", "stream_log_apply")},
     "log_created_flags": f"""WITH {_EVENTS}, half AS (SELECT max(id) // 2 AS h FROM ev), last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS turn FROM ev, half WHERE id <= h),
     st AS (SELECT user_id FROM last WHERE turn = 1 AND event_type <> 'error'), b AS (SELECT user_id AS id, ev.id AS ord, row_number() OVER (PARTITION BY user_id ORDER BY ev.id) AS turn FROM ev, half WHERE ev.id > h AND event_type <> 'error')
