@@ -188,17 +188,20 @@ def test_near_duplicates_of_empty_tables(spark):
     assert [tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame([(4, "")], "doc_id long, text string")).collect()] == [(4, 0, 4, True)]
 
 
-def test_all_pairs(spark):
+def test_all_pairs(spark, monkeypatch):
     rows = [(b, c, c if c % 3 else 0) for b in range(3) for c in range(b * 5, b * 5 + 30)]
     own = spark.createDataFrame(rows, "band long, class long, component long")
     of = {c: k for _, c, k in rows}
     expected = {(x, y) for b in range(3) for x in range(b * 5, b * 5 + 30) for y in range(x, b * 5 + 30) if of[x] != of[y]}
     assert {tuple(sorted(r)) for r in near_dup.all_pairs(own).collect()} == expected
     groups = defaultdict(lambda: ([], []))
-    for r in near_dup.in_blocks(own, 4, 7).collect():
+    for r in near_dup.in_blocks(own.selectExpr("*", "10 AS n"), 4, 7).collect():
         groups[r.band, r.x, r.y][r.is_outer].append(r["class"])
     together = {tuple(sorted((x, y))) for inner, outer in groups.values() for x in outer for y in inner if of[x] != of[y]}
     assert together == expected and max(len(a) + len(b) for a, b in groups.values()) < 30
+    monkeypatch.setattr(near_dup, "SHINGLES", 100)
+    long = near_dup.in_blocks(own.selectExpr("*", "200 AS n"), 1000, 1000).groupBy("band", "x", "y").count().collect()
+    assert len(long) > 3 * 30
 
 
 def test_components(spark):

@@ -47,6 +47,8 @@ MARGIN = 0.15
 ROUNDS, FEW = 4, 1.0
 #: Members from which a bucket is large; outer and inner members of a group of such a bucket, about.
 LARGE, OUTER, BLOCK = 48, 256, 512
+#: Elements of the sets of a block, about.
+SHINGLES = 1 << 21
 #: Members from which a band value is hot. Of 42 bands of n sets at most 42 n / HOT are.
 HOT = 1000
 
@@ -290,11 +292,12 @@ def all_pairs(own: DataFrame) -> DataFrame:
 def in_blocks(own: DataFrame, outer: int = OUTER, inner: int = BLOCK) -> DataFrame:
     """(band, x, y, class, component, is_outer): a bucket's members in groups of bounded size, such that each two members of
     different components are together in a group, one of them as its outer part. Members outside the bucket's largest
-    component are outer in one of the x blocks, for each y; all members are inner in one of the y blocks, for each x."""
-    sizes = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
-    sizes = sizes.select("band", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.n"), outer).alias("xs"), blocks(F.col("all"), inner).alias("ys"))
+    component are outer in one of the x blocks, for each y; all members are inner in one of the y blocks, for each x.
+    own: band, class, component and n, the size of the class's set; sets of a block have about SHINGLES elements together."""
+    sizes = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"), F.sum("elements").alias("elements"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size), F.ceil(F.col("elements") / SHINGLES)).cast("int")
+    sizes = sizes.select("band", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.rows"), outer).alias("xs"), blocks(F.col("all"), inner).alias("ys"))
     sided = own.join(small(sizes), "band")
     dealt = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -334,7 +337,7 @@ def large_bucket_links(own: DataFrame, classes: DataFrame, docs: DataFrame, word
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         n = np.array([len(s) for s in sets], float)
         place = int(np.flatnonzero(band_codes(regs[:1])[0] == band)[0])
-        inner, hashed, found = np.flatnonzero(~outer), {}, []
+        inner, hashed, held, found = np.flatnonzero(~outer), {}, 0, []
         for i in np.flatnonzero(outer).tolist():
             own_set, done = set(sets[i].tolist()), set()
             to = inner[(component[inner] != component[i]) & (100 * np.minimum(n[inner], n[i]) >= percent * np.maximum(n[inner], n[i]))]
@@ -346,14 +349,17 @@ def large_bucket_links(own: DataFrame, classes: DataFrame, docs: DataFrame, word
                     continue
                 other = hashed.get(j)
                 if other is None:
+                    if held > SHINGLES // 4:  # Python sets take some 70 bytes an element
+                        hashed, held = {}, 0
                     other = hashed[j] = set(sets[j].tolist())
+                    held += len(other)
                 shared = len(own_set & other)
                 if 100 * shared >= percent * (len(own_set) + len(other) - shared):
                     done.add(component[j])
                     found.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    own = materialize(own, "large-buckets")
+    own = materialize(own.join(classes.select("class", "n"), "class"), "large-buckets")
     carried = classes.join(small(own.select("class").distinct()), "class", "left_semi").select("class", "registers").join(sets_of(own, docs, words), "class")
     grouped = in_blocks(own).join(carried, "class").groupBy("band", "x", "y")
     return grouped.applyInArrow(run, "a long, b long").distinct()
