@@ -19,10 +19,12 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, texts
+from .common import bound_batches, slices, texts
 
 #: Characters from which a text is cut, and about the length of a piece.
 LONG, PIECE = 1 << 16, 1 << 14
+#: Bytes of text whose ids are sent in one batch, about.
+OUT = 1 << 19
 SAFE = regex.compile(r"(?<=\S)(?= \p{L})")
 
 
@@ -65,7 +67,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, ids: bool = Tr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = encoder(path, pattern)[1]
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in slices(b.column(1), OUT)):
             found = []
             for value in texts(batch.column(1)).to_pylist():
                 own = encode(value, path, pattern)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Bytes of one Arrow batch that goes to a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Rows that a side of a join may have at most to be broadcast; every use has narrow rows (below 64 bytes).
 BROADCAST_ROWS = 400_000
 
@@ -93,7 +93,7 @@ def per_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.n
 
 def slices(column: pa.Array, chars: int):
     """(start, stop) of runs of rows with about `chars` bytes each, one row at least."""
-    size = pc.binary_length(texts(column)).to_numpy(zero_copy_only=False)
+    size = pc.binary_length(texts(column)).to_pylist()
     start, total = 0, 0
     for i, x in enumerate(size):
         if i > start and total + x > chars:
