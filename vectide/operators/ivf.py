@@ -18,6 +18,10 @@ from ..shipping import ship
 from .search import best_of_each, scored
 
 
+#: Rows of a list's file, about.
+FILE_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class IvfConfig:
     min_points: int = 2048
@@ -123,8 +127,9 @@ def build(points: DataFrame, n: int, version: int = 0, config: IvfConfig = IvfCo
     centroids = train(training_sample(points, config), list_count(n, config), config.iterations)
     lists = assign(points, centroids)
     if path:
-        # a list's rows meet in few files; large lists are split by id
-        lists.repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("list_id").mode("overwrite").parquet(path)
+        # a list's rows meet in one file, or in one for about FILE_ROWS rows of the average list, split by id
+        splits = max(1, n // (len(centroids) * FILE_ROWS))
+        lists.repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(splits))).write.partitionBy("list_id").mode("overwrite").parquet(path)
         lists = points.sparkSession.read.parquet(path)
     return IvfIndex(centroids, lists, n, version, config)
 
