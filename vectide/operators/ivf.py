@@ -146,7 +146,7 @@ def probe_count(index: IvfIndex, limit: int, target_recall: float | None = None)
 
 def probes(index: IvfIndex, queries: Sequence[Sequence[float]], probe: int) -> list[list[int]]:
     """The nearest lists of each query; ties to the lowest list."""
-    q = np.array(queries, np.float64)
+    q = np.array(queries, np.float64).reshape(len(queries), index.centroids.shape[1])
     return np.argsort(distances(q, index.centroids), axis=1, kind="stable")[:, :probe].tolist()
 
 
