@@ -1,14 +1,22 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and blocks of words.
 
 A section is a run of lines between empty lines, a paragraph a line, a block up to `BLOCK` words of one sentence. A block's
-hash is that of its words, a paragraph's that of its blocks' hashes, a section's that of its paragraphs', and the root is the
-SHA-256 of the whole text. Equal roots are equal texts. Otherwise the trees are compared from the top: equal sections match
-whole, then paragraphs of unmatched sections, then blocks of unmatched paragraphs; what stays unmatched locates the edits.
-The likeness is twice the number of blocks in matched branches over the blocks of both trees (0 to 1; 1 if the roots are
-equal). Two texts without blocks that differ, as in white space, have the likeness 0.
+hash is that of its words, a paragraph's that of its blocks' hashes in order and of its white space where that isn't a single
+space between words, a section's that of its paragraphs' hashes in order and of the empty lines before it. Empty lines at the
+end are a section without paragraphs. The root is the SHA-256 of the sections' hashes in order; the others have 128 bits, so
+equal roots are equal texts.
 
-The fingerprint as a string: root `:` sections, joined by `/`; a section is paragraphs, joined by `,`; a paragraph is its
-blocks' hashes, 3 bytes each as 4 characters of URL-safe base64. The upper hashes follow from the blocks'.
+Edits are found from the top: only sections whose hashes differ are entered, of these only paragraphs that differ, of these the
+blocks. On each level children match in order: equal ones at both ends, between them those that occur once on each side, in the
+longest common order, and equal ones next to these. An edit is a place: the blocks before it (`at`) and the blocks that go
+(`removed`) in the one text, and the same of the other (`other_at`, `added`). Where both are 0 only white space or borders
+of paragraphs or sections differ. Texts that differ have an edit at least, equal ones none. Moved branches are edits.
+
+The likeness is twice the number of blocks that both have, in whatever order, over the blocks of both trees (0 to 1; 1 if the
+roots are equal). Two texts without blocks that differ, as in white space, have the likeness 0.
+
+The fingerprint as a string: root `:` sections, joined by `/`; a section is its hash and its paragraphs, joined by `,`; a
+paragraph is its hash and the first 8 bytes of each of its blocks'. All in URL-safe base64.
 
 Null text is empty. Each document is compared with the next in ascending doc_id (null first, ties by text), the last with
 the first. Documents go to ranges of doc_id, the only shuffle of the texts; each range gets the first document of the next
@@ -20,55 +28,86 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
 
 BLOCK = 4
+#: Bytes of a paragraph's or section's hash, and of a block's in a paragraph.
+UPPER, LEAF = 16, 8
 #: Up to BLOCK words, the last of which may end a sentence.
 WORDS = re.compile(rb"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?|](?:[\x20\x09-\x0D]+|$)){0,%d}[^\x20\x09-\x0D]+" % (BLOCK - 1))
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of text that a range of documents has, about.
 RANGE = 24 << 20
 
 
+def digest(kind: bytes, *parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=UPPER, person=kind).digest()
+
+
 def paragraph(line: bytes, known: dict[bytes, bytes]) -> bytes:
-    """3 bytes for each block of a line; known: of lines that were seen."""
+    """A line's hash and LEAF bytes for each of its blocks, empty without words; known: of lines that were seen."""
     own = known.get(line)
     if own is None:
-        own = known[line] = b"".join([(zlib.crc32(b" ".join(x.split())) & 0xFFFFFF).to_bytes(3) for x in WORDS.findall(line)])
+        words = [b" ".join(x.split()) for x in WORDS.findall(line)]
+        leaves = [xxhash.xxh3_128_digest(x) for x in words]
+        space = b"" if line == b" ".join(words) else WORD.sub(b"w", line)
+        own = known[line] = digest(b"paragraph", len(leaves).to_bytes(8), *leaves, space) + b"".join([x[:LEAF] for x in leaves]) if leaves else b""
     return own
 
 
-def tree(text: bytes, known: dict[bytes, bytes]) -> list[list[bytes]]:
-    """Sections of paragraphs of blocks."""
-    sections: list[list[bytes]] = [[]]
+def grown(text: bytes, known: dict[bytes, bytes]) -> tuple[list[list[bytes]], list[bytes]]:
+    """Sections of paragraphs, and the sections' hashes; the last hash is that of the end, which has no paragraphs."""
+    sections: list[list[bytes]] = []
+    hashes: list[bytes] = []
+    held: list[bytes] = []
+    space: list[bytes] = []
+    close = lambda: hashes.append(digest(b"section", len(space).to_bytes(8), *space, *[p[:UPPER] for p in held]))
     for line in text.split(b"\n"):
         if own := paragraph(line, known):
-            sections[-1].append(own)
-        elif sections[-1]:
-            sections.append([])
-    return [s for s in sections if s]
+            held.append(own)
+            continue
+        if held:
+            close()
+            sections.append(held)
+            held, space = [], []
+        space.append(line + b"\n")
+    if held:
+        close()
+        sections.append(held)
+        held, space = [], []
+    close()
+    return sections, hashes
+
+
+def tree(text: bytes, known: dict[bytes, bytes]) -> list[list[bytes]]:
+    """Sections of paragraphs of blocks."""
+    return grown(text, known)[0]
 
 
-def root(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
+def root(hashes: list[bytes]) -> str:
+    return hashlib.sha256(b"".join(hashes)).hexdigest()
 
 
-def fingerprint(text: bytes, own: list[list[bytes]] | None = None) -> str:
-    own = tree(text, {}) if own is None else own
-    return f"{root(text)}:" + "/".join([",".join([base64.urlsafe_b64encode(p).decode() for p in s]) for s in own])
+def fingerprint(text: bytes, own: tuple[list[list[bytes]], list[bytes]] | None = None) -> str:
+    sections, hashes = grown(text, {}) if own is None else own
+    return f"{root(hashes)}:" + "/".join([",".join([base64.urlsafe_b64encode(p).decode() for p in (h, *s)]) for h, s in zip(hashes, [*sections, []], strict=True)])
 
 
-def parsed(value: str) -> tuple[str, list[list[bytes]]]:
+def parsed(value: str) -> tuple[str, tuple[list[list[bytes]], list[bytes]]]:
     top, _, rest = value.partition(":")
-    return top, [[base64.urlsafe_b64decode(p) for p in s.split(",")] for s in rest.split("/")] if rest else []
+    parts = [[base64.urlsafe_b64decode(p) for p in s.split(",")] for s in rest.split("/")]
+    return top, ([p[1:] for p in parts[:-1]], [p[0] for p in parts])
 
 
 def unmatched(a: list, b: list) -> tuple[list, list]:
@@ -78,24 +117,92 @@ def unmatched(a: list, b: list) -> tuple[list, list]:
 
 
 def blocks(paragraphs: list[bytes]) -> list[bytes]:
-    return [p[i : i + 3] for p in paragraphs for i in range(0, len(p), 3)]
+    return [p[i : i + LEAF] for p in paragraphs for i in range(UPPER, len(p), LEAF)]
+
+
+def size(paragraphs: list[bytes]) -> int:
+    """The number of their blocks."""
+    return sum([(len(p) - UPPER) // LEAF for p in paragraphs])
+
+
+def starts(sizes: Iterable[int]) -> list[int]:
+    """The blocks before each, and of all."""
+    return list(accumulate(sizes, initial=0))
+
+
+def runs(x: list, y: list) -> Iterator[tuple[int, int, int, int]]:
+    """What differs between x and y, in order: from and to in x, from and to in y."""
+    anchors = [(-1, -1)]
+    start, end = 0, 0
+    least = min(len(x), len(y))
+    while start < least and x[start] == y[start]:
+        start += 1
+    while end < least - start and x[-1 - end] == y[-1 - end]:
+        end += 1
+    if start + end == len(x) == len(y):
+        return
+    u, v = x[start : len(x) - end], y[start : len(y) - end]
+    if u and v:
+        once, other = Counter(u), Counter(v)
+        place = {h: i for i, h in enumerate(v) if other[h] == 1}
+        both = [(i, place[h]) for i, h in enumerate(u) if once[h] == 1 and h in place]
+        # the longest rising run of places: the last of each length, and who comes before whom
+        tops, ends, before = [], [], []
+        for n, (_, j) in enumerate(both):
+            at = bisect_left(tops, j)
+            before.append(ends[at - 1] if at else None)
+            tops[at : at + 1], ends[at : at + 1] = [j], [n]
+        chain, n = [], ends[-1] if ends else None
+        while n is not None:
+            chain.append(both[n])
+            n = before[n]
+        anchors += reversed(chain)
+    anchors.append((len(u), len(v)))
+    for (i, j), (k, l) in zip(anchors, anchors[1:], strict=False):  # noqa: E741
+        i, j = i + 1, j + 1
+        while i < k and j < l and u[i] == v[j]:
+            i, j = i + 1, j + 1
+        while i < k and j < l and u[k - 1] == v[l - 1]:
+            k, l = k - 1, l - 1  # noqa: E741
+        if i < k or j < l:
+            yield start + i, start + k, start + j, start + l
+
+
+def edits(a: tuple[list[list[bytes]], list[bytes]], b: tuple[list[list[bytes]], list[bytes]]) -> list[tuple[int, int, int, int]]:
+    """(at, removed, other_at, added) of each edit that leads from one tree to another."""
+    (x, of_x), (y, of_y) = a, b
+    out: list[tuple[int, int, int, int]] = []
+    sections, others = starts(map(size, x)), starts(map(size, y))
+    for i, k, j, l in runs(of_x, of_y):  # noqa: E741
+        at, to = sections[min(i, len(x))], others[min(j, len(y))]
+        p, q = ([p for s in own for p in s] for own in (x[i:k], y[j:l]))
+        before, ahead = starts(size([n]) for n in p), starts(size([n]) for n in q)
+        known = len(out)
+        for m, n, r, t in runs(p, q):
+            start, other, found = at + before[m], to + ahead[r], len(out)
+            out += [(start + c, d - c, other + e, f - e) for c, d, e, f in runs(blocks(p[m:n]), blocks(q[r:t]))]
+            if len(out) == found:
+                out.append((start, 0, other, 0))
+        if len(out) == known:
+            out.append((at, 0, to, 0))
+    return out
 
 
 def compare(a: list[list[bytes]], b: list[list[bytes]]) -> float:
     """Likeness of two trees whose roots differ."""
-    size = sum(len(p) for s in (*a, *b) for p in s) // 3
-    if not size:
+    total = size([p for s in (*a, *b) for p in s])
+    if not total:
         return 0.0
     x, y = unmatched(list(map(tuple, a)), list(map(tuple, b)))
     x, y = unmatched([p for s in x for p in s], [p for s in y for p in s])
     x, y = unmatched(blocks(x), blocks(y))
-    return 1 - (len(x) + len(y)) / size
+    return 1 - (len(x) + len(y)) / total
 
 
 def likeness(a: str, b: str) -> float:
     """Likeness of two fingerprints."""
     (top, x), (other, y) = parsed(a), parsed(b)
-    return 1.0 if top == other else compare(x, y)
+    return 1.0 if top == other else compare(x[0], y[0])
 
 
 def edited(text: str, following: str) -> str:
@@ -134,22 +241,25 @@ def in_order(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row of docs (doc_id, text)."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edits_edited and edits_next of every
+    row of docs (doc_id, text); edits are arrays of (at, removed, other_at, added), in order."""
     spark = docs.sparkSession
     bound_batches(spark)
     if ranges is None:
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         ranges = max(1, min(10_000, -(-total // RANGE)))
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    places = ["at", "removed", "other_at", "added"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edits_edited", "edits_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), *[pa.list_(pa.struct([(c, pa.int64()) for c in places]))] * 2]
 
-    def row(doc: int | None, text: str, own: list, following: str, other: list, known: dict) -> tuple:
+    def row(doc: int | None, text: str, own: tuple, following: str, other: tuple, known: dict) -> tuple:
         changed = edited(text, following)
         data, changed_data = text.encode(), changed.encode()
-        changed_tree = tree(changed_data, known)
-        near_edited = 1.0 if text == changed else compare(own, changed_tree)
-        near_next = 1.0 if text == following else compare(own, other)
-        return doc, len(text), root(changed_data), fingerprint(data, own), fingerprint(changed_data, changed_tree), near_edited, near_next
+        changed_tree = grown(changed_data, known)
+        near_edited = 1.0 if text == changed else compare(own[0], changed_tree[0])
+        near_next = 1.0 if text == following else compare(own[0], other[0])
+        found = [[dict(zip(places, e, strict=True)) for e in edits(own, x)] for x in (changed_tree, other)]
+        return doc, len(text), hashlib.sha256(changed_data).hexdigest(), fingerprint(data, own), fingerprint(changed_data, changed_tree), near_edited, near_next, *found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # the document that waits for its next
@@ -157,12 +267,13 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             out = []
             for doc, text, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 known = {} if before is None else before[3]
-                own = tree(text.encode(), mine := {})
+                own = grown(text.encode(), mine := {})
                 if before is not None:
                     out.append(row(before[0], before[1], before[2], text, own, known))
                 before = None if last else (doc, text, own, mine)
             columns = zip(*out, strict=True) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    edits_ = f"array<struct<{','.join(f'{c}:long' for c in places)}>>"
+    schema = f"doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits_edited {edits_}, edits_next {edits_}"
     return in_order(docs, ranges).select("doc_id", "text", "last").mapInArrow(run, schema)
