@@ -309,12 +309,14 @@ def log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_store_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through the stored log: three batches, a snapshot in between."""
+    """The same through the stored log: three batches by the range of ord, a snapshot in between."""
     log = MutationLog(spark, new_folder(spark, "log"))
     log.append(create_record(spark))
     own = event_log(spark, sf_dir)
+    first, last = own.agg(F.min("ord"), F.max("ord")).first()
+    place = F.least(F.floor((F.col("ord") - F.lit(first)) * 3 / F.lit((last or 0) - (first or 0) + 1)), F.lit(2))
     for part in range(3):
-        log.append(own.where(F.floor(F.col("ord") * 3 / (F.lit(own.count()))) == part))
+        log.append(own.where(place == part))
         if part == 1:
             log.compact()
     return flat(log.load().points)
