@@ -19,8 +19,11 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those whose language is uncertain. A missing lang is filled with the predicted one."""
+    """Rejects texts without a letter and those whose language is uncertain. A missing lang is filled with the predicted one.
+    Where no row has a lang nothing is learned: only texts that are null or have no letter are rejected, and lang stays null."""
     model = language.train(docs.select("doc_id", "text", "lang"))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = language.predict(docs, model, *COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
