@@ -53,8 +53,8 @@ REPORTS = "said says say told wrote writes called calls quoted quote claimed cla
 ORDINARY, INSULT, THREAT, TARGET, NEGATION, REPORT, BORDER = range(7)
 WORDS = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(THREATS, THREAT)
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
-#: Tokens that a match looks back and forward over at most.
-BACK, AHEAD = 12, 4
+#: Symbols over which a target is heard.
+AHEAD = 4
 
 #: (threat, negated, reported, aimed) and the grammar's own weight of a clause of that type.
 TYPES = list(itertools.product((0, 1), repeat=4))
@@ -84,9 +84,8 @@ AIM = fading(TARGET, AHEAD)
 LEFT, ON = compose(fading(NEGATION, 3), latched(REPORT), AIM)
 
 
-def clause_type(symbols: list[int], at: int) -> int:
-    """The type (place in TYPES) of the match at a place of a stream."""
-    state = 0
+def clause_type(symbols: list[int], at: int, state: int = 0) -> int:
+    """The type (place in TYPES) of the match at a place of a stream; state: of the left table before the stream."""
     for s in symbols[:at]:
         state = LEFT[state][s]
     aimed = 0
@@ -146,18 +145,23 @@ class Grammar:
             return out
         stream, ends = symbol[own], border[own]
         longer = np.minimum(LONGER, np.log(np.maximum(1, np.bincount(rows, minlength=len(column)) / self.typical)))
+        # the first token of each one's clause: every machine is off there
+        begins = np.concatenate([[True], ends[:-1] | (rows[1:] != rows[:-1])])
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(own)), 0))
+        state, at = 0, 0
         for i in np.flatnonzero((stream == INSULT) | (stream == THREAT)).tolist():
-            low, high = max(0, i - BACK), min(len(own), i + AHEAD + 1)
-            near, at = [], 0
-            for j in range(low, high):
+            if first[i] > at:
+                state, at = 0, int(first[i])
+            for s in stream[at:i].tolist():
+                state = LEFT[state][s]
+            at, near = i, []
+            for j in range(i, min(len(own), i + AHEAD + 1)):
                 if rows[j] != rows[i]:
-                    continue
-                if j == i:
-                    at = len(near)
+                    break
                 near.append(int(stream[j]))
                 if ends[j]:
                     near.append(BORDER)
-            out[rows[i], clause_type(near, at)] += max(0.0, strength[own[i]] - longer[rows[i]])
+            out[rows[i], clause_type(near, 0, state)] += max(0.0, strength[own[i]] - longer[rows[i]])
         return np.minimum(out, MOST)
 
     def scores(self, column: pa.Array) -> np.ndarray:
