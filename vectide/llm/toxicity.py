@@ -6,19 +6,23 @@ table of states. A match (insult or threat) is written out with what the product
 aimed. A target that follows is found by the same target transducer, read from the right (both together: a bimachine). So
 each match is a clause of one type (`TYPES`), with the strength of its word.
 
+A clause's odds are its type's weight times its strength, plus an offset that is the same for all clauses; what isn't above 0
+counts as 0. They don't depend on the rest of the text. A text's score is the logistic function of a bias and the sum of its
+clauses' odds: any clause adds, none takes away, however long the text is. The offset is what keeps weak matches by accident,
+of which long texts have many, from summing up.
+
 Insults are learned: whole words, and stems (a stem is a longer word's beginning), whose share among documents labelled toxic
 is at least RATIO times that among others, with a likelihood ratio of EVIDENCE or more; the strength is the logarithm of the
-smoothed ratio. A short list of general insults stands in where the labels say nothing of them. The types' weights are a
-logistic regression over the sums of strengths of each type, drawn to the grammar's own weights (`MEANS`): few labels leave
-those as they are. Learning uses a bounded sample: about TOXIC and OTHER labelled documents, those with the smallest hashes
-of doc_id, one of each group of near copies. With enough of them one half learns the words and the other half the weights.
-
-A text that is longer than the sample's average has more chances of a match by accident: each match there loses the logarithm
-of how much longer it is, LONGER at most.
-
-Scoring reads whole texts. Null, empty and wordless texts have no match and the score of the bias alone. Rows without a label
-or with a null doc_id aren't learned from; without any toxic label the grammar's own weights and words are used. Repeated
-rows get equal scores.
+smoothed ratio. A short list of general insults stands in where the labels say nothing of them. Weights, offset and bias are
+a logistic regression over each text's clauses, the weights drawn to the grammar's own (`MEANS`): few labels leave those as
+they are. Learning uses a bounded sample: about TOXIC and OTHER labelled documents, those with the smallest hashes of doc_id,
+one of each group of near copies. The sample has two halves. The weights are fitted to the clauses of each half under the
+words of the other; the words that are kept come from both together, whatever the sample's size.
+
+Scoring reads whole texts. Null, empty and wordless texts have no match and the score of the bias alone. Rows without a label or with a
+null doc_id aren't learned from; without any toxic label, or any document, the grammar's own weights and words are used.
+Repeated rows get equal scores. An empty table gives an empty result. A passed column under the name of a result (score,
+predicted) gives way to it; others aren't read.
 """
 
 from __future__ import annotations
@@ -33,14 +37,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, codes, flat_words, materialize, small
 
 TOXIC, OTHER = 4000, 8000
-RATIO, EVIDENCE, ENTRIES, STEM = 10.0, 22.0, 5000, (3, 9)
-HALVES = 400
+RATIO, EVIDENCE, STEM = 10.0, 16.0, (3, 9)
 THRESHOLD = 0.3
 
 # The words of the symbols, in four languages.
@@ -59,7 +62,9 @@ AHEAD = 4
 #: (threat, negated, reported, aimed) and the grammar's own weight of a clause of that type.
 TYPES = list(itertools.product((0, 1), repeat=4))
 MEANS = np.array([(0.3 if threat and not aimed else 1.0) * (0.5 if negated else 1) * (0.6 if reported else 1) * (1.15 if aimed and not threat else 1) for threat, negated, reported, aimed in TYPES])
-THREAT_STRENGTH, GENERAL_STRENGTH, MOST, LONGER = 3.0, 4.0, 12.0, 2.0
+THREAT_STRENGTH, GENERAL_STRENGTH = 3.0, 4.0
+#: Log odds of a text without clauses, before anything is learned.
+BIAS = -2.0
 
 
 def fading(trigger: int, span: int) -> list[list[int]]:
@@ -80,6 +85,8 @@ def compose(*machines: list[list[int]]) -> tuple[list[list[int]], list[tuple[int
     return table, [tuple(int(x > 0) for x in s) for s in states]
 
 
+CLAUSE = pa.struct([("type", pa.int64()), ("strength", pa.float64()), ("copies", pa.int64())])
+
 AIM = fading(TARGET, AHEAD)
 LEFT, ON = compose(fading(NEGATION, 3), latched(REPORT), AIM)
 
@@ -97,59 +104,55 @@ def clause_type(symbols: list[int], at: int, state: int = 0) -> int:
 
 
 class Grammar:
-    """Words with strengths, and the weights of the clause types."""
+    """Words with strengths, the weights of the clause types, the clauses' offset and the texts' bias."""
 
-    def __init__(self, entries: dict[str, float], weights: np.ndarray | None = None, bias: float = -2.0, typical: float = 500.0):
-        """entries: `word$` for a whole word, `stem~` for a longer word's beginning. typical: the sample's average number of words."""
-        self.entries, self.bias, self.typical = entries, bias, typical
+    def __init__(self, entries: dict[str, float], weights: np.ndarray | None = None, offset: float = 0.0, bias: float = BIAS):
+        """entries: `word$` for a whole word, `stem~` for a longer word's beginning."""
+        self.entries, self.offset, self.bias = entries, offset, bias
         self.weights = MEANS.copy() if weights is None else weights
-        self.known: dict[str, tuple[int, float, bool, bool]] = {}
+        self.known: dict[str, tuple[int, float, bool]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def look_up(self, token: str) -> tuple[int, float, bool, bool]:
-        """Symbol, strength, and whether a clause border comes before or after a lower-cased token."""
+    def look_up(self, token: str) -> tuple[int, float, bool]:
+        """Symbol, strength, and whether a clause border comes after a lower-cased token."""
         found = self.known.get(token)
         if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[token] = self._look_up(token)
+            found = self._look_up(token)
+            if len(token) <= 64:
+                if len(self.known) > 500_000:
+                    self.known.clear()
+                self.known[token] = found
         return found
 
-    def _look_up(self, token: str) -> tuple[int, float, bool, bool]:
+    def _look_up(self, token: str) -> tuple[int, float, bool]:
         runs = LETTERS.findall(token)
         after = token[-1] in ".!?;:|"
-        strength = 0.0
-        for run in runs:
-            for key in features(run):
-                strength = max(strength, self.entries.get(key, 0.0))
+        strength = max((self.entries.get(key, 0.0) for run in runs for key in features(run)), default=0.0)
         if strength:
-            return INSULT, strength, False, after
+            return INSULT, strength, after
         bare = token.strip(".,;:!?\"'()[]|*#$%&<>«»“”„")
         symbol = WORDS.get(bare) or next((WORDS[r] for r in runs if r in WORDS), ORDINARY)
         if symbol == ORDINARY and token[0] in "\"“«„":
             symbol = REPORT
-        return symbol, THREAT_STRENGTH * (symbol == THREAT), False, after
+        return symbol, THREAT_STRENGTH * (symbol == THREAT), after
 
-    def sums(self, column: pa.Array) -> np.ndarray:
-        """texts x types: the strengths of each text's clauses by type."""
+    def clauses(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every match, in order: the row of its text, its type and its strength."""
         flat, rows = flat_words(column)
         own, names = codes(pc.utf8_lower(flat))
-        found = [self.look_up(x) for x in names.to_pylist()]
-        symbol = np.array([f[0] for f in found], np.int8)
-        strength = np.array([f[1] for f in found])
-        border = np.array([f[3] for f in found], bool)
-        out = np.zeros((len(column), len(TYPES)))
         if not len(own):
-            return out
-        stream, ends = symbol[own], border[own]
-        longer = np.minimum(LONGER, np.log(np.maximum(1, np.bincount(rows, minlength=len(column)) / self.typical)))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        symbol, strength, border = (np.array(x) for x in zip(*map(self.look_up, names.to_pylist()), strict=True))
+        stream, ends = symbol.astype(np.int8)[own], border.astype(bool)[own]
         # the first token of each one's clause: every machine is off there
         begins = np.concatenate([[True], ends[:-1] | (rows[1:] != rows[:-1])])
         first = np.maximum.accumulate(np.where(begins, np.arange(len(own)), 0))
+        matches = np.flatnonzero((stream == INSULT) | (stream == THREAT))
+        types = np.zeros(len(matches), np.int64)
         state, at = 0, 0
-        for i in np.flatnonzero((stream == INSULT) | (stream == THREAT)).tolist():
+        for n, i in enumerate(matches.tolist()):
             if first[i] > at:
                 state, at = 0, int(first[i])
             for s in stream[at:i].tolist():
@@ -161,76 +164,98 @@ class Grammar:
                 near.append(int(stream[j]))
                 if ends[j]:
                     near.append(BORDER)
-            out[rows[i], clause_type(near, 0, state)] += max(0.0, strength[own[i]] - longer[rows[i]])
-        return np.minimum(out, MOST)
+            types[n] = clause_type(near, 0, state)
+        return rows[matches], types, strength[own[matches]]
+
+    def odds(self, types: np.ndarray, strengths: np.ndarray) -> np.ndarray:
+        """What each clause adds to its text's log odds."""
+        return np.maximum(0, self.weights[types] * strengths + self.offset)
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + self.sums(column) @ self.weights, -30, 30)))
+        rows, types, strengths = self.clauses(column)
+        sums = np.bincount(rows, self.odds(types, strengths), minlength=len(column))
+        return 1 / (1 + np.exp(-np.clip(self.bias + sums, -30, 30)))
 
 
 def features(run: str) -> list[str]:
     """What a word can be known by: itself, and its beginnings."""
-    return [f"{run[:24]}$", *(f"{run[:k]}~" for k in range(STEM[0], min(len(run), STEM[1] + 1)))]
+    return [f"{run}$", *(f"{run[:k]}~" for k in range(STEM[0], min(len(run), STEM[1] + 1)))]
 
 
-def learn_words(sample: DataFrame) -> dict[str, float]:
-    """Entries with strengths, from (text, toxic) rows."""
-    sizes = {r[0]: r[1] for r in sample.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
-    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
+def count_features(sample: DataFrame) -> DataFrame:
+    """(key, t0, o0, t1, o1): in how many toxic and other documents of each half a feature is, from (text, toxic, half) rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = (Counter(), Counter())
+        four = [Counter() for _ in range(4)]
 
         def flush() -> pa.RecordBatch:
-            keys = list(both[0].keys() | both[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([both[1][k] for k in keys], pa.int64()), pa.array([both[0][k] for k in keys], pa.int64())], names=["key", "toxic", "other"])
-            both[0].clear()
-            both[1].clear()
+            keys = list(set().union(*four))
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in four)], names=["key", "t0", "o0", "t1", "o1"])
+            for c in four:
+                c.clear()
             return out
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both[label].update({k for run in set(LETTERS.findall((text or "").lower())) for k in features(run)})
-                if len(both[0]) + len(both[1]) > 300_000:
+            for text, label, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                four[2 * half + 1 - label].update({k for run in set(LETTERS.findall((text or "").lower())) for k in features(run)})
+                if sum(map(len, four)) > 300_000:
                     yield flush()
         yield flush()
 
+    counted = sample.select("text", "toxic", "half").mapInArrow(count, "key string, t0 long, o0 long, t1 long, o1 long")
+    return materialize(counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")]), "toxicity-words")
+
+
+def learn_words(counted: DataFrame, t: Column, o: Column, toxic: int, other: int) -> dict[str, float]:
+    """Entries with strengths; t and o: a feature's documents, toxic and other: all documents. An entry is in 10 or more toxic
+    documents of the sample, as EVIDENCE asks, so the number of entries is bounded by the sample's words."""
     entries = {f"{w}$": GENERAL_STRENGTH for w in INSULTS}
     if not toxic:
         return entries
-    counted = sample.select("text", "toxic").mapInArrow(count, "key string, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
-    ratio = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("o") + 0.5) / (other + 1))
-    n, share = F.col("t") + F.col("o"), toxic / (toxic + other)
+    ratio = ((t + 0.5) / (toxic + 1)) / ((o + 0.5) / (other + 1))
+    n, share = t + o, toxic / (toxic + other)
     part = lambda c, p: F.when(c > 0, c * F.log(c / (n * p))).otherwise(0.0)
-    evidence = 2 * (part(F.col("t"), share) + part(F.col("o"), max(1 - share, 1e-9)))
-    best = counted.where((ratio >= RATIO) & (evidence >= EVIDENCE)).orderBy(evidence.desc(), "key").limit(ENTRIES)  # the model's size
-    known = counted.where(F.col("key").isin(list(entries)) & (n >= 5)).select("key", F.log(ratio).alias("strength"))
-    entries |= {r["key"]: max(0.0, r["strength"]) for r in known.collect()}
-    return entries | {r["key"]: r["strength"] for r in best.select("key", F.log(ratio).alias("strength")).collect()}
+    evidence = 2 * (part(t, share) + part(o, max(1 - share, 1e-9)))
+    learned = (ratio >= RATIO) & (evidence >= EVIDENCE)
+    known = F.col("key").isin(list(entries)) & (n >= 5)
+    rows = counted.where(learned | known).select("key", F.greatest(F.log(ratio), F.lit(0.0)).alias("strength")).collect()
+    return entries | {r["key"]: r["strength"] for r in rows}
 
 
-def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias: logistic regression (rows x types, labels, row weights) with a normal prior at MEANS."""
-    design = np.column_stack([x, np.ones(len(x))])
-    mean = np.append(MEANS, math.log(prior / (1 - prior)))
-    precision = np.diag(np.append(np.full(len(MEANS), 16.0), 1.0))
+def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
+    """Coefficients of a logistic regression (rows x features, labels, row weights) with a normal prior."""
 
-    def loss(beta: np.ndarray) -> float:
-        z = design @ beta
-        return float((w * (np.logaddexp(0, z) - y * z)).sum() + (beta - mean) @ precision @ (beta - mean) / 2)
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + (precision * (b - mean) ** 2).sum() / 2)
 
     beta = mean.copy()
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (w * (p - y)) + precision @ (beta - mean)
-        curve = (design * (w * p * (1 - p))[:, None]).T @ design + precision
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (w * (p - y)) + precision * (beta - mean)
+        curve = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(precision)
         step, size = np.linalg.solve(curve, slope), 1.0
         while size > 1e-6 and loss(beta - size * step) > loss(beta):  # a full step can overshoot
             size /= 2
         beta = beta - size * step
         if size * np.abs(step).max() < 1e-6:
             break
-    return np.maximum(beta[:-1], 0), float(beta[-1])
+    return beta
+
+
+def fit_clauses(grammar: Grammar, docs: np.ndarray, types: np.ndarray, strengths: np.ndarray, copies: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> None:
+    """Sets a grammar's weights, offset and bias from the clauses (document, type, strength, how often) of documents (label, weight)."""
+    n = len(MEANS)
+    x = np.zeros((len(y), n + 2))
+    np.add.at(x, (docs, types), copies * strengths)
+    np.add.at(x, (docs, n), copies)
+    x[:, n + 1] = 1
+    least = math.log(prior / (1 - prior))
+    beta = fit(x, y, w, np.concatenate([MEANS, [0, least]]), np.concatenate([np.full(n, 16.0), [1, 1]]))
+    grammar.weights, grammar.offset = np.maximum(beta[:n], 0), min(0.0, float(beta[n]))
+    # the bias, now that odds below 0 count as 0
+    sums = np.bincount(docs, copies * grammar.odds(types, strengths), minlength=len(y))
+    grammar.bias = float((fit(np.column_stack([sums, np.ones(len(y))]), y, w, np.array([1.0, least]), np.array([1e9, 1.0])))[1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int, other: int) -> tuple[DataFrame, dict[int, int]]:
@@ -258,25 +283,35 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = O
     """A grammar from docs (doc_id, text) and labels (doc_id, toxic)."""
     bound_batches(docs.sparkSession)
     sample, sizes = labelled_sample(docs, labels, toxic, other)
-    n = {r[0]: r[1] for r in sample.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
-    halves = n.get(1, 0) >= HALVES
-    typical = sample.agg(F.avg(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")))).first()[0] or 1.0
-    grammar = Grammar(learn_words(sample.where("half = 0") if halves else sample), typical=typical)
-    if not n.get(1):
-        return grammar
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = {(r[0], r[1]): r[2] for r in sample.groupBy("toxic", "half").agg(F.count(F.lit(1))).collect()}
+    of = lambda label, *halves: sum(n.get((label, h), 0) for h in halves)
+    if not of(1, 0, 1):
+        return Grammar({f"{w}$": GENERAL_STRENGTH for w in INSULTS})
+    counted = count_features(sample)
+    t, o = ([F.col(f"{c}{h}") for h in (0, 1)] for c in "to")
+    grammar = Grammar(learn_words(counted, t[0] + t[1], o[0] + o[1], of(1, 0, 1), of(0, 0, 1)))
+    crossed = [Grammar(learn_words(counted, t[h], o[h], of(1, h), of(0, h))) for h in (1, 0)]  # for texts of half 0 and 1
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = grammar.sums(batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["toxic", "sums"])
-
-    # a row for each document of the bounded sample
-    rows = (sample.where("half = 1") if halves else sample).select("text", "toxic").mapInArrow(sums, "toxic int, sums array<double>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["toxic"], r["sums"]))
-    y = np.array([r["toxic"] for r in rows])
+            for half, own in enumerate(crossed):
+                part = batch.filter(pc.equal(batch.column(2), half))
+                rows, types, strengths = own.clauses(part.column(0))
+                counts: list[Counter] = [Counter() for _ in range(part.num_rows)]
+                for r, k in zip(rows.tolist(), zip(types.tolist(), strengths.tolist(), strict=True), strict=True):
+                    counts[r][k] += 1
+                clauses = [[{"type": a, "strength": b, "copies": c} for (a, b), c in sorted(x.items())] for x in counts]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(clauses, pa.list_(CLAUSE))], names=["toxic", "clauses"])
+
+    # a row for each document of the bounded sample, with at most one element for each type and strength
+    rows = sample.select("text", "toxic", "half").mapInArrow(found, "toxic int, clauses array<struct<type:long,strength:double,copies:long>>").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["toxic"], [tuple(c.values()) for c in r["clauses"]]))
+    y = np.array([r["toxic"] for r in rows], float)
     prior = min(0.9, max(0.001, sizes[1] / sum(sizes.values())))
-    share = np.where(y == 1, prior / max(1e-9, y.mean()), (1 - prior) / max(1e-9, 1 - y.mean()))
-    grammar.weights, grammar.bias = fit(np.array([r["sums"] for r in rows]), y, share, prior)
+    weight = np.where(y == 1, prior / max(1e-9, y.mean()), (1 - prior) / max(1e-9, 1 - y.mean()))
+    at = np.repeat(np.arange(len(rows)), [len(r["clauses"]) for r in rows])
+    types, strengths, copies = (np.array([c[k] for r in rows for c in r["clauses"]], kind) for k, kind in (("type", np.int64), ("strength", float), ("copies", float)))
+    fit_clauses(grammar, at, types, strengths, copies, y, weight, prior)
     return grammar
 
 
@@ -284,7 +319,7 @@ def score(docs: DataFrame, grammar: Grammar, *passed: str, threshold: float = TH
     """The columns `passed` of docs (doc_id if none), score and predicted of every row."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
-    passed = passed or ("doc_id",)
+    passed = tuple(c for c in passed or ("doc_id",) if c not in ("score", "predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
