@@ -183,23 +183,3 @@ def test_fingerprints(spark, ranges):
         assert r.near_edited == pytest.approx(fingerprints.likeness(r.fingerprint, r.edited_fingerprint))
         assert r.near_next == pytest.approx(fingerprints.likeness(r.fingerprint, fingerprints.fingerprint(following.encode())))
     assert fingerprints.fingerprints(df.limit(0)).count() == 0
-
-
-def test_fingerprints_with_null_and_repeated_ids(spark):
-    rows = [(None, "n1"), (5, "b"), (5, "a"), (None, "n0"), (7, None)]
-    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
-    order = ["n0", "n1", "a", "b", ""]
-    assert sorted(r.fingerprint for r in got) == sorted(fingerprints.fingerprint(t.encode()) for t in order)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab. \n", max_size=80), st.text(alphabet="ab. \n", max_size=80))
-def test_likeness_is_that_of_the_blocks(a, b):
-    x, y = (Counter(fingerprints.blocks([p for s in fingerprints.tree(t.encode(), {}) for p in s])) for t in (a, b))
-    size = sum(x.values()) + sum(y.values())
-    found = fingerprints.likeness(fingerprints.fingerprint(a.encode()), fingerprints.fingerprint(b.encode()))
-    if a == b:
-        assert found == 1
-    else:
-        assert found <= (2 * sum((x & y).values()) / size if size else 0) + 1e-12
-        assert found == (pytest.approx(2 * sum((x & y).values()) / size) if size else 0)

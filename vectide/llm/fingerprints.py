@@ -12,15 +12,19 @@ longest common order, and equal ones next to these. An edit is a place: the bloc
 (`removed`) in the one text, and the same of the other (`other_at`, `added`). Where both are 0 only white space or borders
 of paragraphs or sections differ. Texts that differ have an edit at least, equal ones none. Moved branches are edits.
 
-The likeness is twice the number of blocks that both have, in whatever order, over the blocks of both trees (0 to 1; 1 if the
-roots are equal). Two texts without blocks that differ, as in white space, have the likeness 0.
+The likeness is the share of the blocks of both trees that no edit takes away or adds; an edit of white space or borders alone
+counts as one block. It is 1 if the roots are equal and less if not, the same from either side, and 0 for two texts without
+blocks that differ. Branches that are moved, as two sections that change places, lessen it as edits.
 
 The fingerprint as a string: root `:` sections, joined by `/`; a section is its hash and its paragraphs, joined by `,`; a
 paragraph is its hash and the first 8 bytes of each of its blocks'. All in URL-safe base64.
 
 Null text is empty. Each document is compared with the next in ascending doc_id (null first, ties by text), the last with
-the first. Documents go to ranges of doc_id, the only shuffle of the texts; each range gets the first document of the next
-one that isn't empty as well, and is read in order, one document at a time.
+the first. Repeated rows stay rows, each with the next; a single document is its own next; an empty table gives an empty
+result; other columns aren't read. Documents go to ranges of doc_id, the only shuffle of the texts: quantiles of doc_id make
+up to CELLS cells, which are cut evenly where more ranges are needed, so that a range has at most about RANGE_MOST bytes at any
+size. A doc_id (or null) that fills more than a cell is cut by the first bytes of its texts. Each range gets the first
+document of the next one that isn't empty as well, and is read in order, one document at a time.
 """
 
 from __future__ import annotations
@@ -33,13 +37,12 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, small
 
 BLOCK = 4
 #: Bytes of a paragraph's or section's hash, and of a block's in a paragraph.
@@ -47,8 +50,8 @@ UPPER, LEAF = 16, 8
 #: Up to BLOCK words, the last of which may end a sentence.
 WORDS = re.compile(rb"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?|](?:[\x20\x09-\x0D]+|$)){0,%d}[^\x20\x09-\x0D]+" % (BLOCK - 1))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Bytes of text that a range of documents has, about.
-RANGE = 24 << 20
+#: Bytes of text that a range of documents has, about, for up to RANGES of them, and at most, about, for more; cells of ids.
+RANGE, RANGES, RANGE_MOST, CELLS = 24 << 20, 10_000, 256 << 20, 4096
 
 
 def digest(kind: bytes, *parts: bytes) -> bytes:
@@ -110,12 +113,6 @@ def parsed(value: str) -> tuple[str, tuple[list[list[bytes]], list[bytes]]]:
     return top, ([p[1:] for p in parts[:-1]], [p[0] for p in parts])
 
 
-def unmatched(a: list, b: list) -> tuple[list, list]:
-    """What a and b have beyond each other."""
-    x, y = Counter(a), Counter(b)
-    return list((x - y).elements()), list((y - x).elements())
-
-
 def blocks(paragraphs: list[bytes]) -> list[bytes]:
     return [p[i : i + LEAF] for p in paragraphs for i in range(UPPER, len(p), LEAF)]
 
@@ -168,8 +165,13 @@ def runs(x: list, y: list) -> Iterator[tuple[int, int, int, int]]:
             yield start + i, start + k, start + j, start + l
 
 
-def edits(a: tuple[list[list[bytes]], list[bytes]], b: tuple[list[list[bytes]], list[bytes]]) -> list[tuple[int, int, int, int]]:
-    """(at, removed, other_at, added) of each edit that leads from one tree to another."""
+Tree = tuple[list[list[bytes]], list[bytes]]
+
+
+def edits(a: Tree, b: Tree) -> list[tuple[int, int, int, int]]:
+    """(at, removed, other_at, added) of each edit that leads from one tree to another. Those that lead back are the same, turned round."""
+    if a[1] > b[1]:
+        return [(at, removed, to, added) for to, added, at, removed in edits(b, a)]
     (x, of_x), (y, of_y) = a, b
     out: list[tuple[int, int, int, int]] = []
     sections, others = starts(map(size, x)), starts(map(size, y))
@@ -188,21 +190,18 @@ def edits(a: tuple[list[list[bytes]], list[bytes]], b: tuple[list[list[bytes]],
     return out
 
 
-def compare(a: list[list[bytes]], b: list[list[bytes]]) -> float:
-    """Likeness of two trees whose roots differ."""
-    total = size([p for s in (*a, *b) for p in s])
-    if not total:
-        return 0.0
-    x, y = unmatched(list(map(tuple, a)), list(map(tuple, b)))
-    x, y = unmatched([p for s in x for p in s], [p for s in y for p in s])
-    x, y = unmatched(blocks(x), blocks(y))
-    return 1 - (len(x) + len(y)) / total
+def alike(a: Tree, b: Tree, found: list[tuple[int, int, int, int]]) -> float:
+    """Likeness of two trees with the edits between them."""
+    if not found:
+        return 1.0
+    spaces = sum(1 for e in found if not e[1] + e[3])
+    return 1 - (sum(e[1] + e[3] for e in found) + spaces) / (size([p for s in (*a[0], *b[0]) for p in s]) + spaces)
 
 
 def likeness(a: str, b: str) -> float:
     """Likeness of two fingerprints."""
-    (top, x), (other, y) = parsed(a), parsed(b)
-    return 1.0 if top == other else compare(x[0], y[0])
+    (_, x), (_, y) = parsed(a), parsed(b)
+    return alike(x, y, edits(x, y))
 
 
 def edited(text: str, following: str) -> str:
@@ -211,33 +210,64 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def first_bytes(text: str = "text") -> Column:
+    """The first 7 bytes of a text as a number that orders as they do."""
+    return F.conv(F.rpad(F.hex(F.substring(F.col(text).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def at_or_below(cuts: list[int], value: Column) -> Column:
+    """How many of ascending cuts aren't over a value, in two steps of about the root of their number each."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    width = max(1, round(len(cuts) ** 0.5))
+    rows = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    numbers = lambda x: F.array(*[F.lit(c).cast("long") for c in x])
+    below = lambda edges: F.size(F.filter(edges, lambda x: x <= value))
+    row = F.greatest(below(numbers([r[0] for r in rows])), F.lit(1))
+    return ((row - 1) * width + below(F.element_at(F.array(*map(numbers, rows)), row))).cast("long")
+
+
+def placed(docs: DataFrame, ranges: int) -> DataFrame:
+    """docs (doc_id, text) with part, in the order of the rows, and prefix: the first bytes of texts whose doc_id is cut by them."""
+    if ranges <= 1:
+        return docs.withColumns({"part": F.lit(0).cast("long"), "prefix": F.lit(None).cast("long")})
+    cells = min(ranges, CELLS)
+    shares = [i / cells for i in range(1, cells)]
+    whole, with_id, least, most = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    cuts = [int(x) for x in docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", shares, 0.1 / cells)]
+    heavy = sorted(x for x, n in Counter(cuts).items() if n > 1)
+    cut = F.col("doc_id").isin(heavy) if heavy else F.lit(False)
+    if (whole - with_id) * cells > whole:
+        cut = F.col("doc_id").isNull() | F.coalesce(cut, F.lit(False))
+    docs = docs.withColumn("prefix", F.when(cut, first_bytes()))
+    starts_ = [int(x) for x in docs.where(F.col("prefix").isNotNull()).approxQuantile("prefix", shares, 0.1 / cells)]
+    starts_ = sorted(set(starts_))
+    edges = sorted({*cuts, *(x + 1 for x in heavy)})
+    cell = at_or_below(edges, F.col("doc_id"))
+    more = -(-ranges // cells)
+    step = F.lit(0).cast("long")
+    if more > 1 and edges:
+        low, high = (F.element_at(F.array(*[F.lit(x).cast("double") for x in side]), cell.cast("int") + 1) for side in ([least, *edges], [*edges, most + 1]))
+        step = F.least(F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1.0)) * more), F.lit(more - 1))
+    step = F.when(F.col("prefix").isNotNull(), at_or_below(starts_, F.col("prefix"))).otherwise(step)
+    # null first
+    return docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(cell + 1) * (more + len(starts_) + 1) + F.when(F.col("doc_id").isNull() & F.col("prefix").isNull(), 0).otherwise(step))
+
+
 def in_order(docs: DataFrame, ranges: int) -> DataFrame:
     """(part, doc_id, text, last): ranges of documents in ascending doc_id, each closed by the document that follows it (last)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    cuts = np.unique(np.array(cuts, dtype=np.int64)).tolist()
-    part = F.lit(0)
-    if cuts:
-        # the number of cuts at or below doc_id, in two steps of about the root of their number each
-        width = max(1, round(len(cuts) ** 0.5))
-        rows = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-        below = lambda edges: F.size(F.filter(edges, lambda x: x <= F.col("doc_id")))
-        row = F.greatest(below(F.array(*[F.lit(r[0]).cast("long") for r in rows])), F.lit(1))
-        fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in r]) for r in rows])
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise((row - 1) * width + below(F.element_at(fine, row)))
-    placed = docs.withColumn("part", part.cast("int"))
-    heads = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("with_id"), F.min("doc_id").alias("first")).collect()  # a row a range
-    nulls = any(r["n"] > r["with_id"] for r in heads)
-    order = sorted(r["part"] for r in heads)
-    first = {r["part"]: r["first"] for r in heads}
-    if nulls:
-        first[0] = None
-    closing = [(before, first[after]) for before, after in zip(order, order[1:] + order[:1], strict=True)]
+    docs = placed(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), ranges)
+    heads = docs.groupBy("part").agg(F.min(F.struct("doc_id", "prefix")).alias("head")).orderBy("part").collect()  # a row a range
     spark = docs.sparkSession
-    ends = F.broadcast(spark.createDataFrame(closing, "closes int, doc_id long")) if closing else spark.createDataFrame([], "closes int, doc_id long")
-    of_heads = docs.join(ends.withColumnRenamed("doc_id", "head"), docs["doc_id"].eqNullSafe(F.col("head"))).groupBy("closes", "doc_id").agg(F.min("text").alias("text"))
-    rows = placed.withColumn("last", F.lit(False)).unionByName(of_heads.select("doc_id", "text", F.col("closes").alias("part"), F.lit(True).alias("last")))
-    return rows.repartitionById(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_first(), "text")
+    if not heads:
+        return docs.select("part", "doc_id", "text", F.lit(False).alias("last"))
+    places = spark.createDataFrame([(r["part"], i) for i, r in enumerate(heads)], "part long, place int")
+    closing = [(i, *heads[(i + 1) % len(heads)]["head"]) for i in range(len(heads))]
+    ends = spark.createDataFrame(closing, "place int, of_id long, of_prefix long")
+    of_heads = docs.join(small(ends), docs["doc_id"].eqNullSafe(F.col("of_id")) & docs["prefix"].eqNullSafe(F.col("of_prefix"))).groupBy("place", "doc_id").agg(F.min("text").alias("text"))
+    rows = docs.join(small(places), "part").select("place", "doc_id", "text", F.lit(False).alias("last"))
+    rows = rows.unionByName(of_heads.select("place", "doc_id", "text", F.lit(True).alias("last")))
+    return rows.withColumnRenamed("place", "part").repartitionById(len(heads), "part").sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -247,7 +277,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     bound_batches(spark)
     if ranges is None:
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        ranges = max(1, min(10_000, -(-total // RANGE)))
+        ranges = max(1, min(RANGES, -(-total // RANGE)), -(-total // RANGE_MOST))
     places = ["at", "removed", "other_at", "added"]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edits_edited", "edits_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), *[pa.list_(pa.struct([(c, pa.int64()) for c in places]))] * 2]
@@ -256,10 +286,10 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         changed = edited(text, following)
         data, changed_data = text.encode(), changed.encode()
         changed_tree = grown(changed_data, known)
-        near_edited = 1.0 if text == changed else compare(own[0], changed_tree[0])
-        near_next = 1.0 if text == following else compare(own[0], other[0])
-        found = [[dict(zip(places, e, strict=True)) for e in edits(own, x)] for x in (changed_tree, other)]
-        return doc, len(text), hashlib.sha256(changed_data).hexdigest(), fingerprint(data, own), fingerprint(changed_data, changed_tree), near_edited, near_next, *found
+        found = [edits(own, x) for x in (changed_tree, other)]
+        near = [alike(own, x, e) for x, e in zip((changed_tree, other), found, strict=True)]
+        named = [[dict(zip(places, e, strict=True)) for e in x] for x in found]
+        return doc, len(text), hashlib.sha256(changed_data).hexdigest(), fingerprint(data, own), fingerprint(changed_data, changed_tree), *near, *named
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # the document that waits for its next
