@@ -53,6 +53,8 @@ def test_mixing(spark):
     for r in found:
         expected[r.doc_id] += r.copies
     assert mixed == +expected and mixing.mix(docs).columns == docs.columns
+    odd = docs.withColumnsRenamed({"rate": "row", "target": "copy"}).withColumn("a.b", F.lit(1)).withColumn("__size", F.lit("s"))
+    assert Counter(r.doc_id for r in mixing.mix(odd).collect()) == mixed and mixing.mix(odd).columns == odd.columns
     assert mixing.mix_counts(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
@@ -87,8 +89,11 @@ def brute_lines(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_broadcast": 0}, {"max_bits": 1 << 16, "max_broadcast": 0}])
-def test_line_dedup(spark, options):
+@pytest.mark.parametrize("options", [{}, {"max_broadcast": 0}, {"max_bits": 1 << 16, "max_broadcast": 0}, {"max_bits": 1 << 5}, {"max_bits": 1 << 7, "max_broadcast": 0}])
+def test_line_dedup(spark, monkeypatch, options):
+    """Also with so small filters that there are many shards."""
+    if options.get("max_bits", 0) < 1 << 10:
+        monkeypatch.setattr(line_dedup, "MIN_BITS", 8)
     line = "a line that is shared by MANY documents"
     rows = [(i, f"own line number {i} of this document\n{line}\n  {line.lower()}\t\nshort\n" + ("\nsecond shared line, in every third one" if i % 3 == 0 else "")) for i in range(40)]
     rows += [(None, line), (None, "ééééééééééééééééééééé\nx"), (77, None), (78, ""), (79, "\n\n"), (5, line + "\nagain"), (80, f"{line}\n" * 3000), (81, "y" * 200_000), (82, "ÀÀÀÀÀÀÀÀÀÀÀÀÀÀÀÀÀÀÀÀÀ"), (83, "ééééééééééééééééééééé"), (84, "ééééééééééééééééééééé")]
@@ -104,6 +109,24 @@ def test_line_dedup_passes_columns(spark):
     assert [(r.lang, r.source, r.text) for r in rows] == [("en", None, "a"), (None, "s", "")]
 
 
+def test_line_dedup_with_clashing_columns(spark):
+    line = "a line that is shared by many documents"
+    docs = spark.createDataFrame([(i, line, f"{i}", 7, "d") for i in range(4)], "doc_id long, text string, drop0 string, n_lines int, own string")
+    for n in (0, 10):
+        found = line_dedup.dedup_lines(docs, "drop0", "n_lines", "own", max_broadcast=n)
+        assert found.columns == [*line_dedup.RESULT, "drop0", "own"]
+        assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped, r.drop0, r.own) for r in found.collect()) == [(i, line if i == 3 else "", 1, int(i < 3), f"{i}", "d") for i in range(4)]
+
+
+def test_shards_part_all_keys():
+    import numpy as np
+
+    a = np.random.default_rng(2).integers(0, 1 << 64, 4000, dtype=np.uint64)
+    for n in (1, 2, 8, 64):
+        own = line_dedup.shard(a, n)
+        assert set(own.tolist()) == set(range(n))
+
+
 def test_filters_miss_nothing():
     import numpy as np
 
@@ -168,9 +191,9 @@ def near_rows():
 
 
 @pytest.mark.parametrize("words", [4, 5])
-@pytest.mark.parametrize("rounds, few, large, hot", [(4, 1.0, 48, 1000), (3, -1.0, 2, 5), (1, 0.0, 0, 1)])
-def test_near_duplicates(spark, monkeypatch, words, rounds, few, large, hot):
-    monkeypatch.setattr(near_dup, "HOT", hot)
+@pytest.mark.parametrize("rounds, few, large, spread", [(4, 1.0, 48, 64), (3, -1.0, 2, 5), (1, 0.0, 0, 2)])
+def test_near_duplicates(spark, monkeypatch, words, rounds, few, large, spread):
+    monkeypatch.setattr(near_dup, "SPREAD", spread)
     monkeypatch.setattr(near_dup, "LARGE", large)
     monkeypatch.setattr(near_dup, "ROUNDS", rounds)
     monkeypatch.setattr(near_dup, "FEW", few)
@@ -188,20 +211,63 @@ def test_near_duplicates_of_empty_tables(spark):
     assert [tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame([(4, "")], "doc_id long, text string")).collect()] == [(4, 0, 4, True)]
 
 
-def test_all_pairs(spark, monkeypatch):
+def test_near_duplicates_that_repeat_a_doc_id(spark):
+    """Rows of one doc_id and different texts are told apart; rows without doc_id keep one text; passed columns may clash."""
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(5, a, "x"), (5, b, "y"), (2, a + " more", "z"), (5, b, "y"), (2**62 + 9, b + " more", "w"), (None, "n " * 9 + "o", "m"), (None, "n " * 9 + "o", "m"), (None, "p q r s t", None)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, sig string, key int, kept int").repartition(3)
+    found = near_dup.near_duplicates(docs, "sig", "kept", "key")
+    assert found.columns == ["doc_id", "n_shingles", "component_id", "kept", "sig", "key"]
+    got = sorted(((r.doc_id, r.sig, r.component_id, r.kept, r.key) for r in found.collect()), key=str)
+    expected = [(5, "x", 2, False), (5, "y", 5, True), (2, "z", 2, True), (5, "y", 5, True), (2**62 + 9, "w", 5, False), (None, "m", None, True), (None, "m", None, True), (None, None, None, True)]
+    assert got == sorted([(*e, 1) for e in expected], key=str)
+
+
+def test_all_pairs(spark):
     rows = [(b, c, c if c % 3 else 0) for b in range(3) for c in range(b * 5, b * 5 + 30)]
     own = spark.createDataFrame(rows, "band long, class long, component long")
     of = {c: k for _, c, k in rows}
     expected = {(x, y) for b in range(3) for x in range(b * 5, b * 5 + 30) for y in range(x, b * 5 + 30) if of[x] != of[y]}
-    assert {tuple(sorted(r)) for r in near_dup.all_pairs(own).collect()} == expected
-    groups = defaultdict(lambda: ([], []))
-    for r in near_dup.in_blocks(own.selectExpr("*", "10 AS n"), 4, 7).collect():
-        groups[r.band, r.x, r.y][r.is_outer].append(r["class"])
-    together = {tuple(sorted((x, y))) for inner, outer in groups.values() for x in outer for y in inner if of[x] != of[y]}
-    assert together == expected and max(len(a) + len(b) for a, b in groups.values()) < 30
-    monkeypatch.setattr(near_dup, "SHINGLES", 100)
-    long = near_dup.in_blocks(own.selectExpr("*", "200 AS n"), 1000, 1000).groupBy("band", "x", "y").count().collect()
-    assert len(long) > 3 * 30
+    assert {tuple(sorted((r.a, r.b))) for r in near_dup.all_pairs(own).collect()} == expected
+
+
+def test_prefix_pairs_are_all_that_are_linked(spark):
+    import random
+
+    rng = random.Random(5)
+    pool = [rng.randrange(1 << 60) for _ in range(400)]
+    sets = []
+    for _ in range(12):
+        base = rng.sample(pool, rng.choice([5, 12, 40, 60]))
+        sets += [{x for x in base if rng.random() > 0.06} | set(rng.sample(pool, rng.randrange(4))) for _ in range(8)]
+    component = [i // 3 for i in range(len(sets))]
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    expected = {(i, j) for i in range(len(sets)) for j in range(i) if component[i] != component[j] and linked(sets[i], sets[j])}
+    data = spark.createDataFrame([(i, b"".join(e.to_bytes(8, "little") for e in sorted(s))) for i, s in enumerate(sets)], "class long, set binary")
+    own = spark.createDataFrame([(i, c) for i, c in enumerate(component)], "class long, component long").union(spark.createDataFrame([(0, 0)], "class long, component long"))
+    found = {tuple(sorted((r.a, r.b), reverse=True)) for r in near_dup.prefix_pairs(own, data, 0.8).collect()}
+    assert len(expected) > 20 and expected <= found and all(component[i] != component[j] for i, j in found)
+
+
+def test_a_bucket_of_unlinked_members_sends_no_pairs(spark):
+    """20,000 sets that share 34 of 40 elements (similarity 34 / 46), each a component of its own, and one pair that is linked."""
+    import numpy as np
+
+    n, common = 20_000, 34
+    rng = np.random.default_rng(1)
+    shared = rng.integers(1 << 40, 1 << 41, common)
+
+    def run(batches):
+        for batch in batches:
+            for i in batch["id"]:
+                own = np.arange(40 - common) + 10 * min(i, n - 2)  # the last two have the same elements
+                yield __import__("pandas").DataFrame({"class": [i], "component": [i], "set": [np.sort(np.concatenate([shared, own])).astype("<u8").tobytes()]})
+
+    sets = spark.range(n).repartition(4).mapInPandas(run, "class long, component long, set binary").cache()
+    rows = near_dup.prefix_rows(sets, 0.8)
+    assert rows.count() == 9 * n and rows.where("indexed").count() == 5 * n
+    assert [tuple(r) for r in near_dup.prefix_pairs(sets.select("class", "component"), sets.select("class", "set"), 0.8).collect()] == [(n - 2, n - 1, 1)]
+    sets.unpersist()
 
 
 def test_components(spark):
@@ -320,8 +386,10 @@ def brute_warc(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("segment", [64, 1000, 32 << 10])
-def test_warc_roundtrip(spark, segment):
+@pytest.mark.parametrize("segment, archive", [(64, 1 << 30), (1000, 300), (32 << 10, 1 << 30)])
+def test_warc_roundtrip(spark, monkeypatch, segment, archive):
+    """Also with many small archives, several of them to a task."""
+    monkeypatch.setattr(warc, "ARCHIVE", archive)
     page = "<p>é\r\n\r\n0\r\n WARC/1.1 page</p>" * 9
     rows = [(5, "http://a/", page), (3, "http://b/\nc", page), (9, None, page), (4, "u", "short"), (6, "u", "short"), (7, "u", None), (8, "u", ""), (None, "u", page), (None, "v", "only null ids " * 20), (None, "v", "only null ids " * 20), (10, "u", "x" * 300_000), (11, "u", "y" * 100), (12, "u", "y" * 100), (13, "u", "z" * 99), (14, "u", "z" * 99), (3, "again", "other " * 40), (15, "u", "other " * 40)]
     pages = spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, n int, digest string").repartition(4)

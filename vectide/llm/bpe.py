@@ -4,7 +4,7 @@ Null text is empty text: no ids, and the digests of nothing. Each match of the p
 can be cut wherever a match must begin. Long texts are cut before `space letter` after a character that isn't space:
 no match of the pattern crosses that place (` ?\\p{L}+` begins at the space, whatever went before has ended). A text
 without such a place is encoded whole. Decoding works on raw bytes, so an id that ends inside a character is no fault.
-Repeated rows give repeated rows. Other columns of the input are not read.
+Repeated rows give repeated rows, an empty table an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ level at which they sum up. The level comes from running sums over the sources i
 
 A source's rate is target / size. Each document is taken floor(rate) times, and once more if the first 52 bits of
 md5(seed:doc_id), as a fraction, are below rate's own fraction. So reruns and repeated rows agree, whatever the partitions.
-A source without words has the target 0 and rate 0. An empty table gives an empty mix.
+A source without words has the target 0 and rate 0. An empty table gives an empty mix. Other columns aren't read, or passed on by
+`mix` whatever they are called.
 """
 
 from __future__ import annotations
@@ -71,8 +72,9 @@ def mix_counts(docs: DataFrame, seed: str = SEED, **plan) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = SEED, **plan) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
-    sized = docs.select("*", n_words().alias("__size"))
-    rates = small(targets(materialize(sized.select("source", F.col("__size").alias("size")), "mix-sizes"), **plan), SOURCES).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["__source"]), "left")
-    copies = F.floor("__rate") + (draw(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # whatever the columns are called
+    sized = materialize(docs.select("source", n_words().alias("size")), "mix-sizes")
+    rates = small(targets(sized, **plan), SOURCES).select("source", "rate")
+    joined = own.join(rates, F.col("row.source").eqNullSafe(F.col("source")), "left")
+    copies = F.floor("rate") + (draw(F.col("row.doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("copy")).select("row.*")

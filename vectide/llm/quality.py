@@ -10,7 +10,8 @@ documents without a bad vote as good. Accuracies stay in ON_GOOD and ON_BAD and
 its meaning and a rule that votes at random can't split the documents; the prior stays in PRIOR. An abstention says nothing. The posterior is a sum of log odds, evaluated by Spark per row.
 
 Words are [^\\x20\\x09-\\x0D]+; null text has none. The base test fails texts with under 50 words or with over half of their
-words in repeated 3-word windows, whatever the posterior. Empty texts fail it. An empty table gives an empty result.
+words in repeated 3-word windows, whatever the posterior. Empty texts fail it. Repeated rows are documents of their own
+with equal results; other columns aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ over `margin` times its trust and it isn't a trusted seed; all others, links or
 
 Edges are aggregated before any shuffle of theirs counts: a host with a third of all pages is one row a task. Each step is one
 join of edges and ranks by host and one aggregation; ranks are written to the shared folder every `CUT` steps. Hosts that only
-link to themselves leave no edge; without edges the seeds' own ranks are the result and no step is run.
+link to themselves leave no edge; without edges the seeds' own ranks are the result and no step is run. Repeated rows count as
+pages of their own and stay rows; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
