@@ -7,19 +7,23 @@ largest if one is. A null doc_id is smaller than any other.
 
 1. Each document's distinct keys, as 128-bit digests, go to a table in the shared folder (16 bytes a key). Equal digests
    are taken for equal keys.
-2. Each partition of it fills two filters: keys seen once, and keys seen again while in the first. Filters meet by twos:
-   what both have seen once was seen twice. The union goes through a tree of `FAN` filters a task. A filter has 10 bits a
-   key, at most `max_bits`; what is broadcast has therefore a fixed bound. Over that bound the filters get denser and more
-   keys are suspected, up to all: then 24 bytes a key are shuffled, and the result is the same.
+2. The keys are looked at in shards, by the first bits of their digests: as many as make a filter of 10 bits a key have at
+   most `max_bits`. For each shard in turn, each partition fills two filters: keys seen once, and keys seen again while in
+   the first. Filters meet by twos: what both have seen once was seen twice. The union goes through a tree of `FAN` filters
+   a task. So filters, and what is broadcast, have a fixed bound at any number of keys, and never get denser.
 3. Only suspected keys, with their doc_id, are shuffled and counted; counts are partial first, so that a line in a third
    of all documents is a few rows. Those that are found in enough documents make the table of dropped keys.
 4. Up to `max_broadcast` dropped keys are broadcast, and the texts aren't shuffled at all. With more, each document's
    dropped keys are joined to it.
+
+Repeated rows are documents of their own; an empty table gives an empty result. Columns that aren't passed aren't read; one that
+is passed under the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, codes, materialize, texts
+from .common import bound_batches, codes, materialize, new_path, texts
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BITS_A_KEY, PROBES, MIN_BITS, MAX_BITS, FAN = 10, 4, 1 << 16, 1 << 28, 16
 MAX_BROADCAST = 500_000
+RESULT = ("doc_id", "text", "n_lines", "n_dropped", "kept_sha256")
 
 
 def line_keys(column: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
@@ -101,7 +106,10 @@ class Seen:
         self.once, self.twice = Filter(bits), Filter(bits)
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        _, first, count = np.unique(a ^ (b << np.uint64(1)), return_index=True, return_counts=True)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(a)))
         a, b = a[first], b[first]
         again = (count > 1) | self.once.has(a, b)
         self.twice.add(a[again], b[again])
@@ -121,12 +129,17 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def filter_bits(n_keys: int, max_bits: int) -> int:
-    return min(max_bits, max(MIN_BITS, 1 << (BITS_A_KEY * n_keys - 1).bit_length() if n_keys else 0))
+def filter_bits(n_keys: int) -> int:
+    return max(MIN_BITS, 1 << (BITS_A_KEY * n_keys - 1).bit_length() if n_keys else 0)
+
 
+def shard(a: np.ndarray, shards: int) -> np.ndarray:
+    """Of keys, by the first bits of a digest's first half; filters use its last ones. shards: a power of 2."""
+    return a >> np.uint64(65 - shards.bit_length()) if shards > 1 else np.zeros(len(a), np.uint64)
 
-def seen_twice(keys: DataFrame, bits: int) -> bytes:
-    """The packed filter of keys that were seen twice."""
+
+def seen_twice(keys: DataFrame, bits: int, own: int = 0, shards: int = 1) -> bytes:
+    """The packed filter of a shard's keys that were seen twice."""
 
     def emit(seen: Seen) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([pack(seen.once)], pa.binary()), pa.array([pack(seen.twice)], pa.binary())], names=["once", "twice"])
@@ -135,8 +148,10 @@ def seen_twice(keys: DataFrame, bits: int) -> bytes:
         seen, full = Seen(bits), False
         for batch in batches:
             if data := b"".join(batch.column(0).to_pylist()):
-                full = True
-                seen.add(*halves(data))
+                a, b = halves(data)
+                mine = shard(a, shards) == own
+                full = full or bool(mine.any())
+                seen.add(a[mine], b[mine])
         if full:
             yield emit(seen)
 
@@ -159,8 +174,8 @@ def seen_twice(keys: DataFrame, bits: int) -> bytes:
     return found[0][0] if found else pack(Filter(bits))
 
 
-def suspects(keys: DataFrame, bits: int, packed: bytes) -> DataFrame:
-    """(digest, doc_id) of keys that may be in several documents."""
+def suspects(keys: DataFrame, bits: int, packed: bytes, own: int = 0, shards: int = 1) -> DataFrame:
+    """(digest, doc_id) of a shard's keys that may be in several documents."""
     shared = keys.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,28 +184,42 @@ def suspects(keys: DataFrame, bits: int, packed: bytes) -> DataFrame:
             data = batch.column(1).to_pylist()
             rows = np.repeat(np.arange(len(data)), [len(x) // 16 for x in data])
             joined = b"".join(data)
-            found = np.flatnonzero(twice.has(*halves(joined)))
+            a, b = halves(joined)
+            mine = np.flatnonzero(shard(a, shards) == own)
+            found = mine[twice.has(a[mine], b[mine])]
             yield pa.RecordBatch.from_arrays([pa.array([joined[i : i + 16] for i in (found * 16).tolist()], pa.binary()), batch.column(0).take(pa.array(rows[found]))], names=["digest", "doc_id"])
 
     return keys.mapInArrow(run, f"digest binary, doc_id {keys.schema['doc_id'].dataType.simpleString()}")
 
 
+def all_suspects(keys: DataFrame, max_bits: int) -> DataFrame:
+    """(digest, doc_id) of all keys that may be in several documents, in the shared folder: one shard after the other."""
+    spark = keys.sparkSession
+    n_keys = keys.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // 16
+    whole = filter_bits(n_keys)
+    bits = min(whole, 1 << (max_bits.bit_length() - 1))
+    path, shards = new_path(spark, "line-suspects"), whole // bits
+    for own in range(shards):
+        suspects(keys, bits, seen_twice(keys, bits, own, shards), own, shards).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def dedup_lines(docs: DataFrame, *passed: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, the text without its dropped lines, n_lines (before), n_dropped, kept_sha256 (of that text), and the columns `passed` of docs."""
+    """doc_id, the text without its dropped lines, n_lines (before), n_dropped, kept_sha256 (of that text), and the columns `passed` of docs. max_bits: of a filter."""
     bound_batches(docs.sparkSession)
+    passed = tuple(c for c in passed if c not in RESULT)
     docs = docs.select("doc_id", "text", *passed)
-    keys = materialize(key_table(docs, min_chars), "line-keys")
-    n_keys = keys.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // 16
-    bits = filter_bits(n_keys, max_bits)
-    found = suspects(keys, bits, seen_twice(keys, bits))
+    found = all_suspects(materialize(key_table(docs, min_chars), "line-keys"), max_bits)
     dropped = materialize(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).select("digest", "last"), "dropped-lines")
     if dropped.count() <= max_broadcast:
         rows = dropped.toArrow()
         last = docs.sparkSession.sparkContext.broadcast(dict(zip(rows["digest"].to_pylist(), rows["last"].to_pylist(), strict=True)))
         return apply(docs, passed, min_chars, lambda digest, doc_id, _: digest in last.value and last.value[digest] != doc_id)
     # a digest that is in a third of all documents is one row of `dropped`: the join splits its large side (AQE)
-    own = found.join(dropped, "digest").where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.collect_set("digest").alias("__drop")).withColumnRenamed("doc_id", "__own")
-    return apply(docs.join(own, docs["doc_id"].eqNullSafe(own["__own"]), "left").drop("__own"), passed, min_chars, lambda digest, _, drop: digest in drop)
+    own = found.join(dropped, "digest").where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.collect_set("digest").alias("drop")).withColumnRenamed("doc_id", "own")
+    whole = docs.select(F.struct(*docs.columns).alias("row")).join(own, F.col("row.doc_id").eqNullSafe(F.col("own")), "left")
+    spare = next(x for i in itertools.count() if (x := f"drop{i}") not in passed)
+    return apply(whole.select("row.*", F.col("drop").alias(spare)), passed, min_chars, lambda digest, _, drop: digest in drop)
 
 
 def apply(docs: DataFrame, passed: tuple[str, ...], min_chars: int, gone) -> DataFrame:
@@ -215,7 +244,7 @@ def apply(docs: DataFrame, passed: tuple[str, ...], min_chars: int, gone) -> Dat
                 part = lines.slice(starts[r], n_lines[r]).filter(pa.array(~lost[starts[r] : starts[r + 1]]))
                 kept[r] = "\n".join(part.to_pylist())
             sha = [hashlib.sha256(x.encode()).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string()), *batch.columns[2:n]], names=["doc_id", "text", "n_lines", "n_dropped", "kept_sha256", *passed])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string()), *batch.columns[2:n]], names=[*RESULT, *passed])
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_dropped long, kept_sha256 string{kinds}")
