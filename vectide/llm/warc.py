@@ -7,14 +7,16 @@ other; it revisits the one with a page_id, and among equal pages that all have n
 
 Blocks over `segment` bytes are cut: the first record has WARC-Segment-Number 1, the others are continuations with the
 first one's id in WARC-Segment-Origin-ID, and the last has WARC-Segment-Total-Length. A task rolls to a new archive every
-`ARCHIVE` bytes; segments of one block can be in different archives. Archives are gzip files, one member a record. A task's
+`ARCHIVE` bytes (1 GB, so mostly one archive a task); segments of one block can be in different archives. Archives are gzip files, one member a record. A task's
 archives count only if it ends: their names are its result, kept in a manifest that Spark commits. What a lost attempt
 has written under other names is never read.
 
-Reading goes through the archives of the manifest, one record at a time. Whole records are decoded on the spot. Only
+Reading goes through the archives of the manifest, one record at a time, with `PACK` bytes of archives to a task; as long as
+there are fewer tasks than cores, an archive each. Whole records are decoded on the spot. Only
 segments are shuffled: grouped by their origin, ordered by number, checked against the total length (and for gaps), then
 decoded. A block that fails a check raises MalformedRecord. A group is one record, so its size has nothing to do with how
-often a payload repeats. Other columns of the pages aren't read; repeated page_ids are records of their own.
+often a payload repeats. Other columns of the pages aren't read; repeated page_ids and rows are records of their own. An empty
+table gives a manifest without archives and an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialize, new_path, small
 
 MIN_REVISIT = 100
-SEGMENT, CHUNK, ARCHIVE = 32 << 10, 8 << 10, 16 << 20
+SEGMENT, CHUNK, ARCHIVE = 32 << 10, 8 << 10, 1 << 30
+#: Bytes of archives that a task reads, about.
+PACK = 256 << 20
 CRLF = b"\r\n"
 #: Names of header fields of this writer, beside the standard's.
 PAGE, LENGTH, REFERS = "X-Page-ID", "X-Payload-Length", "X-Refers-To-Page"
@@ -147,7 +151,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> DataFrame:
-    """Writes the archives into a folder of the shared store; the manifest (archive, records) tells which count."""
+    """Writes the archives into a folder of the shared store; the manifest (archive, records, bytes) tells which count."""
     bound_batches(pages.sparkSession)
     store_path = path
 
@@ -156,7 +160,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> DataF
         files.create_dir(folder, recursive=True)
         out, name, size, n = None, "", 0, 0
         attempt = uuid.uuid4().hex
-        done: list[tuple[str, int]] = []
+        done: list[tuple[str, int, int]] = []
         for batch in batches:
             for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (html or "").encode()
@@ -171,19 +175,19 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> DataF
                     size, n = size + len(data), n + 1
                     if size >= ARCHIVE:
                         out.close()
-                        done.append((name, n))
+                        done.append((name, n, size))
                         out, n = None, 0
         if out is not None:
             out.close()
-            done.append((name, n))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.int64())], names=["archive", "records"])
+            done.append((name, n, size))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "records", "bytes"])
 
     again = small(revisits(pages.select("page_id", "html")))
     # the payload's digest is compared too: rows may repeat a page_id with other payloads
     ids = again.select(F.col("page_id").alias("again"), "refers_to", "digest")
     same = pages["page_id"].eqNullSafe(ids["again"]) & (F.sha2(pages["html"].cast("binary"), 256) == ids["digest"])
     marked = pages.select("page_id", "url", "html").join(ids, same, "left").select("page_id", "url", "html", "refers_to")
-    return materialize(marked.mapInArrow(write, "archive string, records long"), "manifest")
+    return materialize(marked.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
 
 
 def read_archives(manifest: DataFrame, path: str, *, payloads: bool = True) -> DataFrame:
@@ -251,8 +255,10 @@ def read_archives(manifest: DataFrame, path: str, *, payloads: bool = True) -> D
         block = put_together([(r["segment"], r["total"], r["payload"]) for r in rows])
         return pa.table([pa.array([x], k) for x, k in zip((*decoded(tuple(first[n] for n in names[:5]), block), None, None, None), kinds, strict=True)], names=names)
 
-    # read once: without payloads only the segments' parts are in this table
-    parts = materialize(manifest.repartition(max(1, manifest.count())).select("archive").mapInArrow(read, schema), "records")
+    # archives are dealt out evenly; read once: without payloads only the segments' parts are in this table
+    n, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-size // PACK))))
+    parts = materialize(manifest.select("archive").repartition(tasks).mapInArrow(read, schema), "records")
     whole = parts.where(F.col("origin").isNull())
     segments = parts.where(F.col("origin").isNotNull()).groupBy("origin").applyInArrow(assemble, schema)
     return whole.union(segments).select(*names[: 5 + payloads])
