@@ -191,10 +191,9 @@ def near_rows():
 
 
 @pytest.mark.parametrize("words", [4, 5])
-@pytest.mark.parametrize("rounds, few, large, spread", [(4, 1.0, 48, 64), (3, -1.0, 2, 5), (1, 0.0, 0, 2)])
-def test_near_duplicates(spark, monkeypatch, words, rounds, few, large, spread):
+@pytest.mark.parametrize("rounds, few, spread", [(4, 1.0, 64), (3, -1.0, 5), (1, 0.0, 2)])
+def test_near_duplicates(spark, monkeypatch, words, rounds, few, spread):
     monkeypatch.setattr(near_dup, "SPREAD", spread)
-    monkeypatch.setattr(near_dup, "LARGE", large)
     monkeypatch.setattr(near_dup, "ROUNDS", rounds)
     monkeypatch.setattr(near_dup, "FEW", few)
     rows = near_rows()
@@ -223,14 +222,6 @@ def test_near_duplicates_that_repeat_a_doc_id(spark):
     assert got == sorted([(*e, 1) for e in expected], key=str)
 
 
-def test_all_pairs(spark):
-    rows = [(b, c, c if c % 3 else 0) for b in range(3) for c in range(b * 5, b * 5 + 30)]
-    own = spark.createDataFrame(rows, "band long, class long, component long")
-    of = {c: k for _, c, k in rows}
-    expected = {(x, y) for b in range(3) for x in range(b * 5, b * 5 + 30) for y in range(x, b * 5 + 30) if of[x] != of[y]}
-    assert {tuple(sorted((r.a, r.b))) for r in near_dup.all_pairs(own).collect()} == expected
-
-
 def test_prefix_pairs_are_all_that_are_linked(spark):
     import random
 

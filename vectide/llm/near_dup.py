@@ -3,24 +3,30 @@
 A document's set: the distinct shingles of `words` words [^\\x20\\x09-\\x0D]+ of its A-Z lower-cased text; with fewer words,
 the whole sequence as one shingle; without words (or null text) the empty set, linked with nothing. Shingles are compared
 by 64-bit hashes. Two documents are linked if 100 * |A & B| >= 100 * threshold * |A | B|. A component's documents carry its
-smallest doc_id; `kept` is true for that document. Rows that repeat a doc_id stay rows. A document with null doc_id takes
-part; it is kept only if no document with a doc_id is in its component, and component_id is null then.
+smallest doc_id; `kept` is true for that document. Rows that repeat a doc_id stay rows, and are told apart by their texts. A
+document with null doc_id takes part; it is kept only if no document with a doc_id is in its component, and only one text of
+such a component is; component_id is null then. An empty table gives an empty result.
 
 1. Sketch. Register i is floor(1 - log_b x) of the smallest x = Exp(A)-distributed hash of the set's elements, cut to
    0..Q + 1: the registers of a union are the maxima of the parts', and the chance that two sets agree in a register is
    close to their similarity J (b is near 1).
 2. Documents with equal sets are one class from here on (a partial aggregation; thousands of copies cost a row a task).
 3. Bands of ROWS registers. Pairs at J = 0.8 share none of the BANDS bands with probability (1 - 0.8^6)^42 = 3e-6.
-   A band value with one class is dropped. Rows of hot ones aren't shuffled by band. For the others a round pairs each class with one class of its bucket: as many
-   pairs as members, never all pairs of a bucket.
-4. The joint likelihood of the registers' comparisons, given both sets' sizes, estimates J; pairs more than MARGIN (six
-   standard deviations) below the threshold go. The others are verified on their full sets.
+   A band value with one class is dropped, the others are buckets. Rows of a bucket of over SPREAD members are dealt to salts
+   of about SPREAD, so no bucket meets in one task: what a bucket is joined to is one row, which is sent to each salt.
+4. A round pairs each class of a bucket with one class of it, the hub: as many pairs as members, never all pairs of a bucket.
+   The joint likelihood of the registers' comparisons, given both sets' sizes, estimates J; pairs more than MARGIN (six
+   standard deviations) below the threshold go. The others are verified on their full sets, which are written once for
+   all classes that are in a bucket. A hub's registers and set are sent once to each salt of its pairs, not once a member.
 5. Links are contracted to components by min-label propagation with pointer jumping; each round's labels are written to the
    shared folder. The next round pairs only classes of one bucket that are in different components, and as long as
    such pairs are many, again against one class for each. The last round takes all pairs of different components that still
-   share a bucket, so that no link is lost; it comes as soon as a round hasn't halved them. Small buckets give pairs. A large
-   one is dealt to groups of bounded size, which estimate and verify in place and send links only, so neither the rows nor
-   any task grows with the square of a bucket.
+   share a bucket, so that no link is lost; it comes as soon as a round hasn't halved them. Its pairs come from a prefix join:
+   elements in one order for all sets, the rarest first (by counts in SLOTS slots), two sets that are linked share one of the
+   first fifth of the larger set and the first ninth of the smaller (at J = 0.8), with enough left after it; and the
+   parities of their elements' counts in PARITIES slots differ in no more slots than they may differ in elements. Both
+   bounds are exact. So what is sent grows with the elements, not with a bucket's square, and few pairs that aren't linked
+   are made.
 """
 
 from __future__ import annotations
@@ -45,17 +51,12 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 MARGIN = 0.15
 #: Rounds of one partner each at most, and pairs a class at which they end.
 ROUNDS, FEW = 4, 1.0
-#: Members from which a bucket is large; outer and inner members of a group of such a bucket, about.
-LARGE, OUTER, BLOCK = 48, 256, 512
-#: Elements of the sets of a block, about.
-SHINGLES = 1 << 21
-#: Members from which a band value is hot. Of 42 bands of n sets at most 42 n / HOT are.
-HOT = 1000
+#: Members of a salt, about; slots of element counts, and of their parities in a set (a multiple of 64).
+SPREAD, SLOTS, PARITIES = 64, 1 << 20, 512
 
 _seed = np.random.Generator(np.random.PCG64(20))
 FACTORS = _seed.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-NO_ID = 1 << 62
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -102,36 +103,55 @@ def signature(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-def nodes(ids: list, signatures: list) -> list:
-    """doc_id, or for a null one a number over all of them."""
-    return [NO_ID | int.from_bytes(s[:7]) if i is None and s else i for i, s in zip(ids, signatures, strict=True)]
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def sketch(docs: DataFrame, words: int, *passed: str) -> DataFrame:
-    """doc_id, node, n_shingles, sig and registers of every row, and its columns `passed`; sig and registers are null for an empty set."""
+    """doc_id, key (of the text), passed (a struct), n_shingles, sig and registers of every row; sig and registers are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1), words)
+            sets = shingle_sets(batch.column(0), words)
             sig = [signature(s) if len(s) else None for s in sets]
             own = [registers(s).tobytes() if len(s) else None for s in sets]
-            ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes(ids, sig), pa.int64()), pa.array(map(len, sets), pa.int64(), size=len(sets)), pa.array(sig, pa.binary()), pa.array(own, pa.binary()), *batch.columns[2:]], names=["doc_id", "node", "n_shingles", "sig", "registers", *passed])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(map(len, sets), pa.int64(), size=len(sets)), pa.array(sig, pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "key", "passed", "n_shingles", "sig", "registers"])
 
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
-    return docs.select(F.col("doc_id").cast("long"), "text", *passed).mapInArrow(run, f"doc_id long, node long, n_shingles long, sig binary, registers binary{kinds}")
+    more = F.struct(*[F.col(c) for c in passed]) if passed else F.lit(None).cast("string")
+    sent = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), more.alias("passed"))
+    kind = sent.schema["passed"].dataType.simpleString()
+    return sent.mapInArrow(run, f"doc_id long, key long, passed {kind}, n_shingles long, sig binary, registers binary")
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """sig, class (a number), n, registers, least (the smallest doc_id) and the doc_id and text key of one row of each set that isn't empty."""
+    own = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.min("doc_id").alias("least"), F.min(F.struct("key", "doc_id")).alias("row"))
+    return own.select("sig", F.monotonically_increasing_id().alias("class"), "n", "registers", "least", "row.key", "row.doc_id")
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(band, class): a row for each of the BANDS bands of every class."""
+    """(class, band): a row for each of the BANDS bands of every class."""
+    own = F.array(*[F.xxhash64(F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS), F.lit(i)) for i in range(BANDS)])
+    return classes.select("class", F.explode(own).alias("band"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes_ = band_codes(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2"))
-            at = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(codes_.ravel()), pa.array(at, pa.int64())], names=["band", "class"])
 
-    return classes.select("class", "registers").mapInArrow(run, "band long, class long")
+def spread(rows: DataFrame, salts: str = "salts") -> DataFrame:
+    """Each row once for each of its salts."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(salts) - 1))).drop(salts)
+
+
+def salt_of(column: str, salts: str = "salts") -> Column:
+    return F.pmod(F.xxhash64(column), F.col(salts)).cast("int")
+
+
+def buckets(classes: DataFrame) -> DataFrame:
+    """(band, salt, class, salts) of the bands that several classes have."""
+    found = bands(classes)
+    salts = F.ceil(F.col("members") / SPREAD).cast("int")
+    shared = materialize(found.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("band", salts.alias("salts")), "bands")
+    hot = small(shared.where(F.col("salts") > 1)).withColumnRenamed("salts", "parts")
+    dealt = found.join(hot, "band", "left").select("band", "class", F.coalesce(salt_of("class", "parts"), F.lit(0)).alias("salt"))
+    return dealt.join(spread(shared.withColumn("parts", F.col("salts"))).withColumnRenamed("parts", "salts"), ["band", "salt"]).select("band", "salt", "class", "salts")
 
 
 def likelihood_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -155,35 +175,42 @@ def likelihood_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.n
     return (low + high) / 2
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(class, set): the shingle sets of the classes in wanted (class), from the texts again; 8 bytes a shingle."""
+def sets_of(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(class, set): the shingle sets of classes (class, sig and the doc_id and text key of a row), from the texts again; 8 bytes a shingle."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1), words)
-            ids = nodes(batch.column(0).to_pylist(), [signature(s) if len(s) else None for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
+            sets = shingle_sets(batch.column(2), words)
+            own = pa.array([signature(s) == sig for s, sig in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"]).filter(own)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    wanted = small(wanted.select(F.col("class").alias("doc_id")).distinct())
-    return rows.join(wanted, "doc_id", "left_semi").union(rows.where(F.col("doc_id").isNull())).mapInArrow(full, "class long, set binary")
+    wanted = small(classes.select("class", "sig", F.col("key").alias("of_key"), F.col("doc_id").alias("of_id")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
+    found = rows.join(wanted, (rows["key"] == wanted["of_key"]) & rows["doc_id"].eqNullSafe(wanted["of_id"])).select("class", "sig", "text")
+    sets = materialize(found.mapInArrow(full, "class long, set binary"), "sets")
+    if sets.groupBy("class").count().where("count > 1").isEmpty():
+        return sets
+    return materialize(sets.groupBy("class").agg(F.first("set").alias("set")), "sets")  # rows that repeat doc_id and text
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of classes that are linked."""
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of classes that are linked; pairs: a, b and the salts to which the pairs of a are dealt. classes: class, n, registers."""
     percent = round(100 * threshold)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in (4, 5))
-                n, m = (part.column(c).to_numpy().astype(float) for c in (2, 3))
-                yield part.select([0, 1]).filter(pa.array(likelihood_estimate(x, y, n, m) >= threshold - MARGIN))
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in (5, 6))
+                n, m = (part.column(c).to_numpy().astype(float) for c in (3, 4))
+                yield part.select([0, 1, 2]).filter(pa.array(likelihood_estimate(x, y, n, m) >= threshold - MARGIN))
 
+    pairs = pairs.groupBy("a", "b").agg(F.max("salts").alias("salts"))
+    pairs = materialize(pairs.select("a", "b", "salts", salt_of("b").alias("salt")), "pairs")
+    hubs = spread(pairs.groupBy("a").agg(F.max("salts").alias("salts")))
     one, two = (classes.select(F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}")) for k in "ab")
-    near = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = materialize(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(likely, "a long, b long").distinct(), "near-pairs")
+    near = pairs.drop("salts").join(two, "b").join(hubs.join(one, "a"), ["a", "salt"]).where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = materialize(near.select("a", "b", "salt", "n_a", "n_b", "r_a", "r_b").mapInArrow(likely, "a long, b long, salt int"), "near-pairs")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +222,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    one, two = (sets_of(near.select(F.col(k).alias("class")), docs, words).select(F.col("class").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    joined = near.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(linked, "a long, b long").distinct()
+    one, two = (sets.select(F.col("class").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
+    hubs = near.select("a", "salt").distinct().join(one, "a")
+    return near.join(two, "b").join(hubs, ["a", "salt"]).select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,149 +247,131 @@ def _order(round_: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *passed: str, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text), and its columns `passed`, whose names none of the others has."""
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text), and its columns `passed`; one that has the name of
+    a result gives way to it."""
     bound_batches(docs.sparkSession)
+    passed = tuple(c for c in passed if c not in ("doc_id", "n_shingles", "component_id", "kept"))
     rows = materialize(sketch(docs, words, *passed), "sketches")
-    docs = docs.select("doc_id", "text")
-    classes = materialize(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("node").alias("class"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
-    found = bands(classes)
-    shared = materialize(found.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("band", (F.col("members") > HOT).alias("hot")), "bands")
-    hot = shared.where("hot")
-    if hot.isEmpty():
-        members = found.join(shared, "band")
-    else:
-        hot = small(hot)
-        members = found.join(hot, "band").unionByName(found.join(hot, "band", "left_anti").join(shared.where(~F.col("hot")), "band"))
-    members = materialize(members, "buckets")
-    labels, before, n_classes = None, math.inf, members.select("class").distinct().count()
-    for round_ in range(ROUNDS + 1):
-        own = members.withColumn("component", F.col("class"))
+    classes = materialize(classes_of(rows), "classes")
+    members = materialize(buckets(classes), "buckets")
+    labels, before, n_classes = None, math.inf, 0
+    if not members.isEmpty():
+        within = small(members.select("class").distinct())
+        own_classes = materialize(classes.join(within, "class", "left_semi").select("class", "n", "registers", "sig", "key", "doc_id"), "bucket-classes")
+        sets, n_classes = sets_of(own_classes, docs.select("doc_id", "text"), words), own_classes.count()
+    for round_ in range(ROUNDS + 1 if n_classes else 0):
+        own, last = members.withColumn("component", F.col("class")), False
         if labels is not None:
             known = labels.withColumnRenamed("node", "class").withColumnRenamed("component", "known")
-            own = members.join(known, "class", "left").select("band", "hot", "class", F.coalesce("known", "class").alias("component"))
-            mixed_ = own.groupBy("band", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("band", "hot")
-            own = materialize(by_band(own, mixed_), "open-buckets")
+            own = members.join(known, "class", "left").withColumn("component", F.coalesce("known", "class")).drop("known")
+            mixed_ = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("salts").alias("salts")).where(F.col("low") < F.col("high"))
+            own = materialize(by_band(own, mixed_.select("band", "salts")), "open-buckets")
             sizes = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
             left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
             if not left:
                 break
             last, before = round_ == ROUNDS or left <= FEW * n_classes or left > before / 2, left
-        else:
-            last = False
         if last:
-            sizes = own.groupBy("band", "hot").agg(F.count(F.lit(1)).alias("n"))
-            pairs = all_pairs(by_band(own, sizes.where(F.col("n") <= LARGE).select("band", "hot")))
-            more = large_bucket_links(by_band(own, sizes.where(F.col("n") > LARGE).select("band", "hot")), classes, docs, words, threshold)
+            pairs = prefix_pairs(own, sets, threshold)
         else:
             # a member of the bucket, and the component it is in; the others of different components are paired with it
-            picked = own.groupBy("band", "hot").agg(F.min(F.struct(_order(round_).alias("key"), "class", "component")).alias("best"))
-            picked = picked.select("band", "hot", F.col("best.class").alias("a"), F.col("best.component").alias("component_a"))
-            pairs = by_band(own, picked).where(F.col("component") != F.col("component_a")).select("a", F.col("class").alias("b")).distinct()
-        links = verified(pairs, classes, docs, words, threshold)
-        links = materialize(links.unionByName(more) if last else links, "links")
+            picked = own.groupBy("band").agg(F.min(F.struct(_order(round_).alias("order"), "class", "component")).alias("best"), F.max("salts").alias("salts"))
+            picked = picked.select("band", "salts", F.col("best.class").alias("a"), F.col("best.component").alias("component_a"))
+            pairs = by_band(own, picked).where(F.col("component") != F.col("component_a")).select("a", F.col("class").alias("b"), "salts")
+        links = materialize(verified(pairs, own_classes, sets, threshold), "links")
         if not links.isEmpty():
             labels = materialize(joined_labels(labels, links), "components")
         elif labels is None:
             labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
         if last:
             break
-    by_sig = classes.select("sig", F.col("class").alias("node"))
-    by_sig = by_sig.join(labels, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    result = rows.select("doc_id", "node", "n_shingles", "sig", *passed).join(by_sig, "sig", "left").withColumn("component", F.coalesce("component", "node"))
-    component = F.when(F.col("component") < NO_ID, F.col("component"))
-    # node stands for a null doc_id; an empty set without doc_id has no node and no component
-    kept = F.coalesce(F.col("node") == F.col("component"), F.lit(True))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *passed)
+    found = classes.select("sig", "class", "least", F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long").alias("turn"))
+    if labels is not None:
+        found = found.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        ends = found.groupBy("component").agg(F.min("least").alias("component_id"), F.min("turn").alias("first"))
+        found = found.join(ends, "component")
+    else:
+        found = found.withColumns({"component_id": F.col("least"), "first": F.col("turn")})
+    # of a component without any doc_id the set whose signature is the first is kept
+    by_sig = found.select("sig", "component_id", (F.col("turn") == F.col("first")).alias("is_first"))
+    result = rows.join(by_sig, "sig", "left")
+    empty = F.col("sig").isNull()
+    kept = F.when(empty, True).when(F.col("component_id").isNull(), F.col("is_first")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *[F.col(f"passed.{c}").alias(c) for c in passed])
 
 
 def by_band(rows: DataFrame, side: DataFrame) -> DataFrame:
-    """rows joined to a row a band. A hot band's rows stay where they are and its row is broadcast; the others meet by shuffle."""
-    if rows.where("hot").isEmpty():
-        return rows.join(side, ["band", "hot"])
-    hot, cold = (rows.where(c).join(small(side.where(c)) if c == "hot" else side.where(c), ["band", "hot"]) for c in ("hot", "NOT hot"))
-    return hot.unionByName(cold)
-
-
-def all_pairs(own: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes of different components that share a bucket; for buckets of at most LARGE members."""
-    one, two = (own.select("band", F.col("class").alias(k), F.col("component").alias(f"component_{k}")) for k in "ab")
-    return one.join(two, "band").where(F.col("component_a") < F.col("component_b")).select("a", "b").distinct()
-
-
-def in_blocks(own: DataFrame, outer: int = OUTER, inner: int = BLOCK) -> DataFrame:
-    """(band, x, y, class, component, is_outer): a bucket's members in groups of bounded size, such that each two members of
-    different components are together in a group, one of them as its outer part. Members outside the bucket's largest
-    component are outer in one of the x blocks, for each y; all members are inner in one of the y blocks, for each x.
-    own: band, class, component and n, the size of the class's set; sets of a block have about SHINGLES elements together."""
-    sizes = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
-    sizes = sizes.groupBy("band").agg(F.max(F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"), F.sum("elements").alias("elements"))
-    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size), F.ceil(F.col("elements") / SHINGLES)).cast("int")
-    sizes = sizes.select("band", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.rows"), outer).alias("xs"), blocks(F.col("all"), inner).alias("ys"))
-    sided = own.join(small(sizes), "band")
-    dealt = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = sided.where(F.col("component") != F.col("main")).select("band", dealt("xs", "x").alias("x"), every("ys").alias("y"), "class", "component", F.lit(True).alias("is_outer"))
-    two = sided.select("band", every("xs").alias("x"), dealt("ys", "y").alias("y"), "class", "component", F.lit(False).alias("is_outer"))
-    return one.unionByName(two)
-
-
-def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For registers of pairs (pairs x registers): the place of the first band in which both agree, BANDS without one."""
-    same = (a == b).reshape(len(a), BANDS, ROWS).all(2)
-    return np.where(same.any(1), same.argmax(1), BANDS)
-
-
-def band_codes(registers_: np.ndarray) -> np.ndarray:
-    """Sets x BANDS: the band values of sets' registers."""
-    own = registers_.reshape(-1, BANDS, ROWS)
-    code = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), own.shape[:2]).copy()
-    for i in range(ROWS):
-        code = code * np.uint64(0x100000001B3) + own[:, :, i].astype(np.uint64) + np.uint64(1)
-    return mixed(code).view(np.int64)
-
-
-def large_bucket_links(own: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Links (a, b) between classes of different components in large buckets, each pair estimated and verified where its block is.
-
-    A pair is looked at in the first band that both share only, and not any more once its outer class is linked to the other's
-    component. So no pairs are sent, only members with their sets, a bounded number to a group.
-    """
-    percent = round(100 * threshold)
+    """rows joined to a row a band, which is sent to each of the band's salts; side: band, salts and more."""
+    return rows.join(spread(side), ["band", "salt"])
+
+
+def slots(elements: np.ndarray) -> np.ndarray:
+    return (mixed(elements) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def parities(elements: np.ndarray) -> np.ndarray:
+    """One bit for each slot: whether it has an odd number of the elements. Two sets' bits differ in at most as many slots as the sets in elements."""
+    odd = np.bincount((mixed(elements) >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        band = key[0].as_py()
-        ids, component = (table.column(c).to_numpy() for c in ("class", "component"))
-        outer = table.column("is_outer").to_numpy(zero_copy_only=False).astype(bool)
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        n = np.array([len(s) for s in sets], float)
-        place = int(np.flatnonzero(band_codes(regs[:1])[0] == band)[0])
-        inner, hashed, held, found = np.flatnonzero(~outer), {}, 0, []
-        for i in np.flatnonzero(outer).tolist():
-            own_set, done = set(sets[i].tolist()), set()
-            to = inner[(component[inner] != component[i]) & (100 * np.minimum(n[inner], n[i]) >= percent * np.maximum(n[inner], n[i]))]
-            to = to[first_shared(regs[to], np.broadcast_to(regs[i], (len(to), REGISTERS))) == place]
-            estimate = likelihood_estimate(regs[to], np.broadcast_to(regs[i], (len(to), REGISTERS)), n[to], np.full(len(to), n[i])) if len(to) else np.zeros(0)
-            order = np.argsort(-estimate, kind="stable")
-            for j in to[order][estimate[order] >= threshold - MARGIN].tolist():
-                if component[j] in done:
-                    continue
-                other = hashed.get(j)
-                if other is None:
-                    if held > SHINGLES // 4:  # Python sets take some 70 bytes an element
-                        hashed, held = {}, 0
-                    other = hashed[j] = set(sets[j].tolist())
-                    held += len(other)
-                shared = len(own_set & other)
-                if 100 * shared >= percent * (len(own_set) + len(other) - shared):
-                    done.add(component[j])
-                    found.append((int(ids[i]), int(ids[j])))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    own = materialize(own.join(classes.select("class", "n"), "class"), "large-buckets")
-    carried = classes.join(small(own.select("class").distinct()), "class", "left_semi").select("class", "registers").join(sets_of(own, docs, words), "class")
-    grouped = in_blocks(own).join(carried, "class").groupBy("band", "x", "y")
-    return grouped.applyInArrow(run, "a long, b long").distinct()
+def prefix_rows(sets: DataFrame, threshold: float) -> DataFrame:
+    """(element, class, component, n, at, indexed, odd): the elements of each set (class, component, set) that may be the first that it
+    shares with a set that it is linked to; indexed: with one that isn't smaller. at: the elements before it. odd: the set's parities."""
+    percent, n_slots = round(100 * threshold), SLOTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n_slots, np.int64)
+        for batch in batches:
+            if data := b"".join(batch.column(0).to_pylist()):
+                sums += np.bincount(slots(np.frombuffer(data, np.uint64)), minlength=n_slots)
+        full = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[full])], names=["slot", "n"])
+
+    # at most SLOTS rows, whatever the input; what is seen once needs no row
+    rows = sets.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.zeros(n_slots, np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, sizes, places, indexed, odd = [], [], [], [], []
+            for data in batch.column(2).to_pylist():
+                own = np.frombuffer(data, np.uint64)
+                n = len(own)
+                probe = n + (-percent * n) // 100 + 1
+                parts.append(own[np.lexsort((own, shared.value[slots(own)]))[:probe]].view(np.int64))
+                sizes.append(n)
+                odd.append(parities(own))
+                places.append(np.arange(len(parts[-1])))
+                indexed.append(places[-1] < n + (-2 * percent * n) // (100 + percent) + 1)
+            if parts:
+                at = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                columns = [pa.array(np.concatenate(parts)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.array(sizes, np.int64)[at]), pa.array(np.concatenate(places)), pa.array(np.concatenate(indexed))]
+                bits = np.stack(odd)
+                columns += [pa.array(bits[:, i][at]) for i in range(bits.shape[1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["element", "class", "component", "n", "at", "indexed", *odds])
+
+    odds = [f"odd{i}" for i in range(PARITIES // 64)]
+    return sets.select("class", "component", "set").mapInArrow(run, "element long, class long, component long, n long, at long, indexed boolean" + "".join(f", {c} long" for c in odds))
+
+
+def prefix_pairs(own: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, salts) of classes (class, component) of different components that may be linked by their sets (class, set)."""
+    spark, percent = sets.sparkSession, round(100 * threshold)
+    own = materialize(own.select("class", "component").distinct(), "open-classes")
+    if own.isEmpty():
+        return spark.createDataFrame([], "a long, b long, salts int")
+    rows = materialize(prefix_rows(sets.join(small(own), "class"), threshold), "prefixes")
+    one, two = (rows.select("element", *[F.col(c).alias(f"{c}_{k}") for c in rows.columns if c != "element"]) for k in "ab")
+    both = one.where("indexed_a").join(two, "element").where((F.col("component_a") != F.col("component_b")) & (F.struct("n_a", "class_a") < F.struct("n_b", "class_b")))
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    both = both.where((100 * F.col("n_a") >= percent * F.col("n_b")) & ((100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))))
+    differ = sum((F.bit_count(F.col(f"odd{i}_a").bitwiseXOR(F.col(f"odd{i}_b"))) for i in range(PARITIES // 64)), F.lit(0))
+    both = both.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct().withColumn("salts", F.lit(1))
 
 
 def joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
