@@ -5,6 +5,7 @@ import pytest
 from vectide.errors import EngineError
 from vectide.model import Limits
 from vectide.operators.ivf import IvfConfig
+from vectide.plans import engine as engine_module
 from vectide.plans.engine import Engine
 from vectide.sources import backup
 
@@ -28,13 +29,16 @@ def test_collections_and_points(engine):
         fails("invalid_argument", engine.create_collection, name, 3)
     fails("invalid_argument", engine.create_collection, "big", 5000)
     fails("not_found", engine.get_collection, "nothing")
-    assert engine.upsert_points("docs", [(1, [1, 2, 3], {"tenant": "edge"}), (2, [4, 5, 6], None)]) == {"created": 2, "updated": 0, "results": [{"id": 1, "created": True}, {"id": 2, "created": True}]}
-    out = engine.upsert_points("docs", [(2, [40, 50, 60], None), (3, [7, 8, 9], {"region": "eu"}), (3, [7, 8, 10], {"n": 1, "f": 1.0, "b": True})])
+    first = engine.upsert_points("docs", [(11, [0.5, -1, 2], {"shelf": "north"}), (70, [3, 3, 3], None)])
+    assert first == {"created": 2, "updated": 0, "results": [{"id": 11, "created": True}, {"id": 70, "created": True}]}
+    # a repeated id is created once, and its last row stays
+    out = engine.upsert_points("docs", [(70, [-2, 0, 0.25], None), (8, [1, 1, 1], {"shelf": "south"}), (8, [6, 5, 4], {"copies": 2, "weight": 2.0, "lent": False})])
     assert (out["created"], out["updated"]) == (1, 2) and [r["created"] for r in out["results"]] == [False, True, False]
-    assert engine.get_point("docs", 3) == {"id": 3, "values": [7, 8, 10], "payload": {"n": 1, "f": 1.0, "b": True}}
-    assert type(engine.get_point("docs", 3)["payload"]["n"]) is int and type(engine.get_point("docs", 3)["payload"]["f"]) is float
-    assert engine.get_point("docs", 2)["values"] == [40, 50, 60]
-    assert engine.upsert_point("docs", 1, [1, 2, 3])["created"] is False and engine.get_point("docs", 1)["payload"] == {}
+    assert engine.get_point("docs", 8) == {"id": 8, "values": [6, 5, 4], "payload": {"copies": 2, "weight": 2.0, "lent": False}}
+    assert [type(engine.get_point("docs", 8)["payload"][k]) for k in ("copies", "weight", "lent")] == [int, float, bool]
+    assert engine.get_point("docs", 70)["values"] == [-2, 0, 0.25]
+    assert engine.upsert_point("docs", 1, [9, 9, 9])["created"] is True and engine.get_point("docs", 1)["payload"] == {}
+    engine.delete_point("docs", 11)
     assert [c["point_count"] for c in engine.list_collections()] == [3]
     for bad in ([(1, [1, 2], None)], [(1, [1, 2, float("nan")], None)], [(1, [1, 2, 1e39], None)], [(-1, [1, 2, 3], None)], [(1, [1, 2, 3], {" ": 1})], [(1, [1, 2, 3], {"a": None})], [(1, [1, 2, 3], {"a": [1]})], []):
         fails("invalid_argument", engine.upsert_points, "docs", bad)
@@ -70,7 +74,7 @@ def test_topk_order_ties_and_batch(engine):
     fails("invalid_argument", engine.search_topk, "c", [1, 0], "l2", mode="ivf")
     fails("invalid_argument", engine.search_topk_batch, "c", [])
     engine.create_collection("empty", 2)
-    assert "no points" in fails("invalid_argument", engine.search_topk, "empty", [1, 0], filter={"must": [{}]}).message
+    assert engine_module.NO_POINTS == fails("invalid_argument", engine.search_topk, "empty", [1, 0], filter={"must": [{}]}).message
 
 
 def test_filters_and_payload(engine):
@@ -82,7 +86,7 @@ def test_filters_and_payload(engine):
     assert "payload" not in engine.search_topk("f", [1, 0], filter=raw, include_payload=False)["hits"][0]
     assert engine.count_points("f", raw) == 2 and engine.count_points("f") == 4
     assert engine.search_topk("f", [1, 0], filter={"must": [{"field": "category", "value": "z"}]})["hits"] == []
-    assert "no points" in fails("invalid_argument", engine.search, "f", [1, 0], filter={"must": [{"field": "category", "value": "z"}]}).message
+    assert engine_module.NO_POINTS == fails("invalid_argument", engine.search, "f", [1, 0], filter={"must": [{"field": "category", "value": "z"}]}).message
     fails("invalid_argument", engine.search, "f", [1, 0], filter={"must": [{"field": "x", "value": 1, "gt": 2}]})
     assert engine.set_payload("f", [1, 2, 2], {"tier": "pro", "score": 5}) == 2
     assert engine.get_point("f", 1)["payload"] == {"category": "a", "score": 5, "active": False, "tier": "pro"}
@@ -220,3 +224,21 @@ def test_sessions(engine):
     clock[0] = 400
     Session(engine, "u", ["read"], rates).list_collections()
     assert set(rates.windows) == {"u"}
+
+
+def test_counts_are_known_without_folding_the_log(engine, monkeypatch):
+    """Counts that an engine carries along are those of a fold, after every kind of write and by every writer."""
+    engine.create_collection("a", 2)
+    engine.create_collection("b", 2)
+    engine.upsert_points("a", [(i, [i, 1], None) for i in (1, 2, 3, 3)])
+    engine.upsert_frame("b", engine.spark.createDataFrame([(5, [1.0, 2.0]), (5, [1.0, 3.0]), (6, [0.0, 0.0])], "id long, values array<float>"))
+    engine.upsert_point("b", 6, [4, 4])
+    engine.delete_point("a", 2)
+    engine.set_payload("a", [1], {"k": 1})
+    other = engine_module.Engine(engine.spark, engine.log.store.root)
+    assert engine.list_collections() == other.list_collections()
+    assert [c["point_count"] for c in engine.list_collections()] == [2, 2]
+    other.upsert_point("a", 9, [1, 1])
+    other.delete_collection("b")
+    assert engine.list_collections() == other.list_collections() and engine.count_points("a") == 3
+    assert other.get_collection("a")["point_count"] == 3

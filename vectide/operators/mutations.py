@@ -17,7 +17,7 @@ def fold(log: DataFrame) -> DataFrame:
     """Live points (collection, id, values, payload, version, ord) of a log: the last mutation of each point counts, if it is an
     upsert and its collection hasn't been deleted since. One exchange by (collection, id), to which a task sends the last row of each."""
     deleted = log.where(F.col("op") == DELETE).groupBy("collection").agg(F.max(F.struct("version", "ord")).alias("gone"))
-    own = log.where(F.col("op").isin(UPSERT, REMOVE)).join(F.broadcast(deleted), "collection", "left")  # a row a deleted collection
+    own = log.where(F.col("op").isin(UPSERT, REMOVE)).join(broadcast_if_small(deleted), "collection", "left")  # a row a deleted collection
     own = own.where(F.col("gone").isNull() | (F.struct("version", "ord") > F.col("gone")))
     last = F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.col("version").desc(), F.col("ord").desc()))
     return own.withColumn("turn", last).where((F.col("turn") == 1) & (F.col("op") == UPSERT)).select("collection", "id", "values", "payload", "version", "ord")

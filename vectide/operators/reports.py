@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.sizes import broadcast_if_small
+
 # The upper bounds of the latency histogram's buckets, in microseconds.
 BOUNDS_US = (50, 100, 250, 500, 1_000, 2_000, 5_000, 10_000, 20_000, 50_000, 100_000, 250_000, 500_000, 1_000_000, 2_000_000, 5_000_000, 10_000_000)
 
@@ -53,8 +55,19 @@ def histogram_percentile(df: DataFrame, by: Sequence[str], value: str, q: float,
 
 
 def roll_up(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """by, n, mean, median, least and most."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    """by, n, mean, median, least and most. Values are counted first, so the median of a group looks at its distinct values."""
+    x = F.col(value)
+    counted = df.groupBy(*by, x.alias("x")).agg(F.count(x).alias("c"))
+    w = Window.partitionBy(*by)
+    counted = counted.withColumns({"upto": F.sum("c").over(w.orderBy("x")), "all": F.sum("c").over(w)})
+    low, high = (F.min(F.when(F.col("upto") > place, F.col("x"))) for place in (F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)))
+    middles = counted.groupBy(*by).agg(((low + high) / 2).alias("median"))
+    whole = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
+    same = F.lit(True)
+    renamed = middles.withColumnsRenamed({c: f"of_{c}" for c in by})
+    for c in by:
+        same = same & whole[c].eqNullSafe(renamed[f"of_{c}"])
+    return whole.join(renamed, same).select(*by, "n", "mean", "median", "least", "most")
 
 
 #: Gates of a comparison: column, kind (least ratio, most ratio, most difference) and bound.
@@ -92,4 +105,4 @@ def alerts(values: DataFrame, rules: Mapping[str, tuple[str, str, float]]) -> Da
     spark = values.sparkSession
     table = spark.createDataFrame([(n, *r) for n, r in rules.items()], "rule string, metric string, side string, bound double")
     fires = ((F.col("side") == ">") & (F.col("value") > F.col("bound"))) | ((F.col("side") == "<") & (F.col("value") < F.col("bound")))
-    return values.join(F.broadcast(table), "metric").where(fires).select("rule", "metric", "value")
+    return values.join(broadcast_if_small(table), "metric").where(fires).select("rule", "metric", "value")

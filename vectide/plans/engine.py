@@ -23,8 +23,9 @@ from ..operators.search import top_k, top_k_batch
 from ..sources import ndjson
 from ..sources.log import MutationLog, State
 from . import planner
+from .sizes import broadcast_if_small
 
-NO_POINTS = "collection contains no points"
+NO_POINTS = "there is no point to find"
 
 
 @dataclass
@@ -75,7 +76,10 @@ class Engine:
         stored, _, _ = self._config(name, tenant)
         return self._load()[1].points.where(F.col("collection") == stored).select("id", "values", "payload")
 
-    def _append(self, rows: list[tuple] | DataFrame, *touched: str) -> int:
+    def _append(self, rows: list[tuple] | DataFrame, *touched: str, more: int = 0, collection: tuple[int, bool] | None = None) -> int:
+        """Appends a batch. more: by how many points it changes the count of the first touched collection; collection: its dimension and
+        strictness if the batch creates it, (0, False) if it deletes it. So the counts are known without folding the log."""
+        _, _, known, counts = self._load()
         batch = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, MUTATIONS)
         try:
             self.log.append(batch, self._load()[0])
@@ -86,7 +90,17 @@ class Engine:
         for name in touched:
             self._indexes.pop(name, None)
         self.log.compact_if_due()
-        return self.log.version()
+        state = self.log.load()
+        if touched and state.version == self._state[0] + 1:  # nobody else has written
+            name = touched[0]
+            if collection is None:
+                counts = counts | {name: counts[name] + more}
+            else:
+                known, counts = ({k: v for k, v in x.items() if k != name} for x in (known, counts))
+                if collection[0]:
+                    known, counts = known | {name: collection}, counts | {name: 0}
+            self._state = (state.version, state, known, counts)
+        return state.version
 
     @staticmethod
     def _row(ord_: int, op: str, name: str, id_: int | None = None, dimension: int | None = None, strict: bool | None = None, values=None, payload=None) -> tuple:
@@ -106,7 +120,7 @@ class Engine:
         own = [n for n in known if n.startswith(f"{tenant}::")] if tenant else list(known)
         if self.limits.max_collections and len(own) >= self.limits.max_collections:
             raise exhausted("collection quota is used up")
-        self._append([self._row(0, CREATE, stored, dimension=dimension, strict=strict_finite)])
+        self._append([self._row(0, CREATE, stored, dimension=dimension, strict=strict_finite)], stored, collection=(dimension, strict_finite))
         return {"name": name.strip(), "dimension": dimension, "strict_finite": strict_finite, "point_count": 0}
 
     def list_collections(self, tenant: str | None = None) -> list[dict]:
@@ -120,7 +134,7 @@ class Engine:
 
     def delete_collection(self, name: str, tenant: str | None = None) -> None:
         stored, _, _ = self._config(name, tenant)
-        self._append([self._row(0, DELETE, stored)], stored)
+        self._append([self._row(0, DELETE, stored)], stored, collection=(0, False))
 
     # points
 
@@ -158,7 +172,7 @@ class Engine:
             flags.append(id_ not in seen)
             seen.add(id_)
         self._admit(stored, dimension, sum(flags), tenant)
-        self._append(rows, stored)
+        self._append(rows, stored, more=sum(flags))
         results = [{"id": i, "created": c} for i, c in zip(ids, flags, strict=True)]
         return {"created": sum(flags), "updated": len(flags) - sum(flags), "results": results}
 
@@ -177,9 +191,10 @@ class Engine:
         if n := own.where(F.coalesce(bad, F.lit(True))).count():
             raise invalid(f"{n} rows have a wrong id, dimension, value or payload key")
         known = self.points(name, tenant).select("id")
-        self._admit(stored, dimension, own.select("id").distinct().join(known, "id", "left_anti").count(), tenant)
+        new = own.select("id").distinct().join(known, "id", "left_anti").count()
+        self._admit(stored, dimension, new, tenant)
         rows = own.select("ord", F.lit(UPSERT).alias("op"), F.lit(stored).alias("collection"), "id", F.lit(None).cast("int").alias("dimension"), F.lit(None).cast("boolean").alias("strict_finite"), "values", "payload")
-        return self._append(rows, stored)
+        return self._append(rows, stored, more=new)
 
     def get_point(self, name: str, id_: int, tenant: str | None = None) -> dict:
         row = paging.lookup(self.points(name, tenant), id_).first()
@@ -190,7 +205,7 @@ class Engine:
     def delete_point(self, name: str, id_: int, tenant: str | None = None) -> None:
         stored, _, _ = self._config(name, tenant)
         self.get_point(name, id_, tenant)
-        self._append([self._row(0, REMOVE, stored, id_)], stored)
+        self._append([self._row(0, REMOVE, stored, id_)], stored, more=-1)
 
     def list_points(self, name: str, limit: int | None = None, offset: int = 0, after_id: int | None = None, tenant: str | None = None) -> dict:
         found = paging.page(self.points(name, tenant), limit, offset, after_id, self.limits)
@@ -208,10 +223,10 @@ class Engine:
         stored, _, _ = self._config(name, tenant)
         wanted = list(dict.fromkeys(ids))
         if not wanted:
-            raise invalid("points must not be empty")
+            raise invalid("ids of points are needed")
         points = self.points(name, tenant)
         own = self.spark.createDataFrame([(i,) for i in wanted], "id bigint")
-        there = {r["id"] for r in points.where(F.col("id").isin(wanted)).select("id").collect()}
+        there = {r["id"] for r in points.select("id").join(broadcast_if_small(own), "id", "left_semi").collect()}
         for i in wanted:
             if i not in there:
                 raise not_found(f"point {i} not found")
@@ -223,7 +238,7 @@ class Engine:
     def set_payload(self, name: str, ids: Iterable[int], payload: Mapping, tenant: str | None = None) -> int:
         P.of_dict(payload)
         if not payload:
-            raise invalid("payload must not be empty")
+            raise invalid("a payload needs keys")
         return self._patch(name, ids, lambda points, own: mutations.set_payload(points, own, payload), tenant)
 
     def delete_payload_keys(self, name: str, ids: Iterable[int], keys: Sequence[str], tenant: str | None = None) -> int:

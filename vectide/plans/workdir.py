@@ -1,7 +1,8 @@
-"""Folders for what a job writes on its way: under the cluster's shared folder if it names one."""
+"""Folders for what a job writes on its way: under the cluster's shared folder, and removed when the driver ends."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,6 +11,18 @@ from pyspark.sql import SparkSession
 
 def new_folder(spark: SparkSession, label: str) -> str:
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="vectide-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clear
+        pass

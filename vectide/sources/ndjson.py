@@ -36,7 +36,7 @@ def read_header(spark: SparkSession, path: str) -> dict[str, object]:
     first = spark.read.option("recursiveFileLookup", "true").text(path).where(F.col("value").contains('"format_version"') & F.get_json_object("value", "$.type").isin("collection")).first()
     own = json.loads(first["value"]) if first else None
     if own is None:
-        raise invalid("first record must have type=collection")
+        raise invalid("an export begins with its collection")
     if own.get("format_version") != FORMAT_VERSION:
         raise invalid(f"unsupported format_version {own.get('format_version')}")
     name, dimension, strict = own.get("name"), own.get("dimension"), own.get("strict_finite")

@@ -11,13 +11,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import invalid
 from ..functions import payload as P
 from ..model import CREATE, DELETE, REMOVE, UPSERT
 from ..operators.mutations import fold, fold_collections
+from ..plans.sizes import broadcast_if_small
 from ..shipping import ship
 from .store import Store
 
@@ -47,6 +48,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return own.where(F.trim("value") != "")
 
 
+def numbered(own: DataFrame) -> DataFrame:
+    """lines with ord: their number over all files, in the order of file, block and row, whatever the files' sizes. A block's first row and
+    size are found by one aggregation; only a row a block is put in order."""
+    blocks = own.groupBy("file", "at").agg(F.min("row").alias("low"), (F.max("row") - F.min("row") + 1).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = broadcast_if_small(blocks.select("file", "at", "low", before.alias("before")))
+    return own.join(places, ["file", "at"]).withColumn("ord", F.col("before") + F.col("row") - F.col("low")).drop("low", "before")
+
+
 def checked(own: DataFrame, good: Column, passed_over: Column, what: str) -> DataFrame:
     """The rows with records; a row that is neither good, blank nor passed over raises. Spark may evaluate the raise before any filter
     that stands below it, so it has all exceptions in itself."""
@@ -56,17 +66,15 @@ def checked(own: DataFrame, good: Column, passed_over: Column, what: str) -> Dat
 
 
 def read_json_log(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """Mutations of a log in JSON lines. A last line that isn't ended and can't be parsed was cut off and is dropped; any other bad line raises."""
-    own = lines(spark, path).withColumn("r", parsed(F.col("value")))
+    """Mutations of a log in JSON lines: a file, or a folder of segments in the order of their names. A last line of the last segment that
+    isn't ended and can't be parsed was cut off and is dropped; any other bad line raises. ord numbers the lines."""
+    own = numbered(lines(spark, path)).withColumn("r", parsed(F.col("value")))
     good = F.coalesce(F.col("r.type").isin(CREATE, DELETE, UPSERT, REMOVE), F.lit(False))
     cut = F.lit(False)
-    if not Store(spark, path).ends_with_newline(path):
-        last = own.agg(F.max(F.struct("file", "at", "row"))).first()[0]
-        cut = (F.col("at") == last["at"]) & (F.col("row") == last["row"]) if last is not None else cut
-    own = checked(own, good, cut, "log")
-    # places are made dense and ordered: block start first, then the row in the block
-    ord_ = F.col("at") * 4294967296 + F.pmod("row", F.lit(8589934592))
-    return own.select(*as_mutation(F.lit(version), ord_))
+    if not Store(spark, path).ends_with_newline():
+        last = own.agg(F.max("ord")).first()[0]
+        cut = F.col("ord") == last if last is not None else cut
+    return checked(own, good, cut, "log").select(*as_mutation(F.lit(version), F.col("ord")))
 
 
 def frames(data: bytes, magic: bytes | None = None) -> Iterator[tuple[int, bytes]]:
@@ -121,14 +129,14 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     if head is None:
         return _read_document(spark, path)
     if head.get("type") != "snapshot_header":
-        raise invalid("snapshot header must be the first record")
+        raise invalid("a snapshot begins with its header")
     if head.get("version") != 2:
         raise invalid(f"unsupported snapshot version {head.get('version')}")
     own = lines(spark, path).withColumn("r", parsed(F.col("value")))
     good = F.coalesce(F.col("r.type").isin(CREATE, UPSERT, "snapshot_header"), F.lit(False))
     own = checked(own, good, F.lit(False), "snapshot")
     own = own.where(F.col("r.type") != "snapshot_header")
-    log = own.select(*as_mutation(F.lit(0), F.col("at") * 4294967296 + F.pmod("row", F.lit(8589934592))))
+    log = numbered(own).select(*as_mutation(F.lit(0), F.col("ord")))
     return fold_collections(log), fold(log).drop("version", "ord")
 
 

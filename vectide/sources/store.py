@@ -54,15 +54,17 @@ class Store:
         finally:
             stream.close()
 
-    def ends_with_newline(self, path: str) -> bool:
-        """Whether a file ends its last line; true for an empty one."""
-        target = self._path(path)
-        n = self.fs.getFileStatus(target).getLen()
-        if not n:
+    def ends_with_newline(self) -> bool:
+        """Whether the root, a file or the last file with bytes of a folder, ends its last line; true without any byte."""
+        top = self.fs.getFileStatus(self._path(self.root))
+        files = self.fs.listStatus(top.getPath()) if top.isDirectory() else [top]
+        full = [f for f in files if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+        if not full:
             return True
-        stream = self.fs.open(target)
+        last = max(full, key=lambda f: f.getPath().getName())
+        stream = self.fs.open(last.getPath())
         try:
-            stream.seek(n - 1)
+            stream.seek(last.getLen() - 1)
             return stream.read() == 10
         finally:
             stream.close()

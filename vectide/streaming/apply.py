@@ -1,12 +1,15 @@
 """The mutation log as a stream: each micro-batch is merged into a table of the last mutation of every point.
 
 Tombstones stay in the table with their place in the log, so late and repeated records change nothing: a record counts only if
-it is newer than what is known of its point. A batch writes a new version of the table, named by its epoch, and a pointer;
-an epoch that runs again after a failure writes the same.
+it is newer than what is known of its point. A batch writes a new version of the buckets it touches, under a name of its own for
+each attempt, and then one file, PLACES, with the epoch and where each bucket is: an epoch counts with that file or not at all. One
+that runs again after a failure reads what the last whole epoch has left, and what a lost attempt has written is never read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,14 +30,18 @@ class AppliedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
 
+    def _state(self) -> tuple[int, dict[int, str]]:
+        """The last epoch, and where each bucket's newest version is."""
+        if not self.store.exists("PLACES"):
+            return -1, {}
+        first, *rest = self.store.read_text("PLACES").splitlines()
+        return int(first), {int(b): p for b, _, p in (line.partition(" ") for line in rest)}
+
     def epoch(self) -> int:
-        return int(self.store.read_text("APPLIED")) if self.store.exists("APPLIED") else -1
+        return self._state()[0]
 
     def _places(self) -> dict[int, str]:
-        """Where each bucket's newest version is."""
-        if not self.store.exists("PLACES"):
-            return {}
-        return {int(b): p for b, _, p in (line.partition(" ") for line in self.store.read_text("PLACES").splitlines())}
+        return self._state()[1]
 
     def table(self, buckets: list[int] | None = None) -> DataFrame:
         places = [p for b, p in self._places().items() if buckets is None or b in buckets]
@@ -62,18 +69,18 @@ class AppliedTable:
         own = own.persist()
         try:
             touched = sorted(r["bucket"] for r in own.select("bucket").distinct().collect())  # at most BUCKETS + 1
+            places = self._places()
             if touched:
                 old = self.table(touched).withColumn("bucket", F.when(F.col("op") == DELETE, F.lit(-1)).otherwise(bucket()))
                 last = F.row_number().over(Window.partitionBy("bucket", "collection", "id").orderBy(F.col("version").desc(), F.col("ord").desc()))
                 merged = old.unionByName(own).withColumn("turn", last).where("turn = 1").drop("turn")
-                name = f"epoch-{epoch:012d}"
-                merged.write.mode("overwrite").partitionBy("bucket").parquet(self.store.path(name))
-                places = self._places() | {b: f"{name}/bucket={b}" for b in touched}
-                self.store.write_text("PLACES", "".join(f"{b} {p}\n" for b, p in sorted(places.items())))
-                for old_name in self.store.names():
-                    if old_name.startswith("epoch-") and not any(p.startswith(f"{old_name}/") for p in places.values()):
-                        self.store.delete(old_name)
-            self.store.write_text("APPLIED", str(epoch))
+                name = f"epoch-{epoch:012d}-{uuid.uuid4().hex}"
+                merged.write.partitionBy("bucket").parquet(self.store.path(name))
+                places |= {b: f"{name}/bucket={b}" for b in touched}
+            self.store.write_text("PLACES", "".join([f"{epoch}\n", *(f"{b} {p}\n" for b, p in sorted(places.items()))]))
+            for old_name in self.store.names():
+                if old_name.startswith("epoch-") and not any(p.startswith(f"{old_name}/") for p in places.values()):
+                    self.store.delete(old_name)
         finally:
             own.unpersist()
 
