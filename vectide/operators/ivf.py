@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import invalid
 from ..model import Metric
 from ..shipping import ship
-from .search import best_of_each, scored
+from .search import best_of_each, candidates, scored
 
 
 #: Rows of a list's file, about.
@@ -65,6 +65,26 @@ def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2 * x @ centroids.T, 0)
 
 
+def exact_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The same, each summed from the left over the differences."""
+    out = np.zeros((len(x), len(centroids)))
+    for j in range(x.shape[1]):
+        out += (x[:, j, None] - centroids[None, :, j]) ** 2
+    return out
+
+
+def nearest_list(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each point, ties to the lowest; by products, and exactly where those are too close to tell."""
+    near = distances(x, centroids)
+    best = near.argmin(1)
+    slack = 1e-9 * ((x * x).sum(1) + (centroids * centroids).sum(1).max())
+    close = np.flatnonzero((near <= (near[np.arange(len(x)), best] + slack)[:, None]).sum(1) > 1)
+    for at in range(0, len(close), 1024):
+        some = close[at : at + 1024]
+        best[some] = exact_distances(x[some], centroids).argmin(1)
+    return best
+
+
 def train(sample: np.ndarray, nlist: int, iterations: int) -> np.ndarray:
     """Farthest-point seeds from the sample's first row, then a few rounds of k-means. An empty list keeps its centroid."""
     chosen = [0]
@@ -96,7 +116,7 @@ def assign(points: DataFrame, centroids: np.ndarray) -> DataFrame:
             found = []
             for i in range(0, batch.num_rows, 4096):
                 part = batch.column(at).slice(i, 4096)
-                found.append(distances(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1), shared.value).argmin(1))
+                found.append(nearest_list(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1), shared.value))
             lists = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists)], names=[*batch.schema.names, "list_id"])
 
@@ -108,23 +128,26 @@ def mean_vectors(points: DataFrame, by: str) -> DataFrame:
     return points.select(by, F.posexplode("values").alias("position", "x")).groupBy(by, "position").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def nearest(points: DataFrame, centroids: DataFrame, n_centroids: int | None = None) -> DataFrame:
+def nearest(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """id, list_id, distance (squared): the nearest of a few centroids (list_id, centroid) of each point, ties to the lowest list."""
     from ..functions.vector import l2_squared
 
-    n = centroids.count() if n_centroids is None else n_centroids
-    if n > IvfConfig().max_lists:
-        raise invalid(f"{n} centroids are over {IvfConfig().max_lists}")
+    if centroids.limit(IvfConfig().max_lists + 1).count() > IvfConfig().max_lists:
+        raise invalid(f"there are over {IvfConfig().max_lists} centroids")
     pairs = points.select("id", "values").crossJoin(F.broadcast(centroids))
     best = F.min(F.struct(l2_squared(F.col("values"), F.col("centroid")).alias("distance"), "list_id")).alias("best")
     return pairs.groupBy("id").agg(best).select("id", "best.list_id", "best.distance")
 
 
-def build(points: DataFrame, n: int, version: int = 0, config: IvfConfig = IvfConfig(), path: str | None = None) -> IvfIndex:
-    """points: id, values and what filters read. path: where the lists are stored, partitioned by list; else they are assigned when read."""
+def build(points: DataFrame, n: int, version: int = 0, config: IvfConfig = IvfConfig(), path: str | None = None, centroids: np.ndarray | None = None) -> IvfIndex:
+    """points: id, values and what filters read. path: where the lists are stored, partitioned by list; else they are assigned when read.
+    centroids: given ones, at most max_lists; else they are trained."""
     if n < config.min_points:
         raise invalid(f"an ivf index needs {config.min_points} points, there are {n}")
-    centroids = train(training_sample(points, config), list_count(n, config), config.iterations)
+    if centroids is None:
+        centroids = train(training_sample(points, config), list_count(n, config), config.iterations)
+    elif not 0 < len(centroids) <= config.max_lists:
+        raise invalid(f"an ivf index has 1 to {config.max_lists} lists")
     lists = assign(points, centroids)
     if path:
         # a list's rows meet in one file, or in one for about FILE_ROWS rows of the average list, split by id
@@ -134,31 +157,36 @@ def build(points: DataFrame, n: int, version: int = 0, config: IvfConfig = IvfCo
     return IvfIndex(centroids, lists, n, version, config)
 
 
-def probe_count(index: IvfIndex, limit: int, target_recall: float | None = None) -> int:
-    """How many lists are probed; target_recall is a floor on their fraction."""
-    needed = -(-limit * index.nlist // max(1, index.n))
-    probe = max(1, min(index.nlist, max(index.config.nprobe, needed)))
+def probes_of(nlist: int, n: int, limit: int, target_recall: float | None = None, config: IvfConfig = IvfConfig()) -> int:
+    """How many of nlist lists of n points are probed; target_recall is a floor on their fraction."""
+    needed = -(-limit * nlist // max(1, n))
+    probe = max(1, min(nlist, max(config.nprobe, needed)))
     if target_recall is not None:
-        share = np.float32(index.nlist) * np.float32(min(1.0, max(0.0, target_recall)))
-        probe = min(index.nlist, max(probe, int(np.ceil(share)), 1))
+        share = np.float32(nlist) * np.float32(min(1.0, max(0.0, target_recall)))
+        probe = min(nlist, max(probe, int(np.ceil(share)), 1))
     return probe
 
 
+def probe_count(index: IvfIndex, limit: int, target_recall: float | None = None) -> int:
+    return probes_of(index.nlist, index.n, limit, target_recall, index.config)
+
+
 def probes(index: IvfIndex, queries: Sequence[Sequence[float]], probe: int) -> list[list[int]]:
     """The nearest lists of each query; ties to the lowest list."""
     q = np.array(queries, np.float64).reshape(len(queries), index.centroids.shape[1])
-    return np.argsort(distances(q, index.centroids), axis=1, kind="stable")[:, :probe].tolist()
+    return np.argsort(exact_distances(q, index.centroids), axis=1, kind="stable")[:, :probe].tolist()
 
 
 def search_batch(index: IvfIndex, queries: Sequence[tuple[int, Sequence[float]]], metric: Metric, k: int, target_recall: float | None = None, where: Column | None = None, *, strict_finite: bool = True) -> DataFrame:
-    """qid, rank, id and value of the best of the probed lists. The (query, list) pairs are at most queries x lists rows, and broadcast."""
-    spark = index.lists.sparkSession
+    """qid, rank, id and value of the best of the probed lists. Each list's points are multiplied with the queries that probe it, so
+    (query, point) rows are made for each partition's candidates only."""
     probe = probe_count(index, k, target_recall)
-    chosen = probes(index, [q for _, q in queries], probe)
-    rows = [(qid, [float(x) for x in q], lists) for (qid, q), lists in zip(queries, chosen, strict=True)]
-    wanted = spark.createDataFrame(rows, "qid bigint, q array<float>, list_ids array<int>").select("qid", "q", F.explode("list_ids").alias("list_id"))
+    asked: dict[int, list[int]] = {}
+    for place, lists in enumerate(probes(index, [q for _, q in queries], probe)):
+        for i in lists:
+            asked.setdefault(i, []).append(place)
     own = index.lists
     if probe < index.nlist:
-        own = own.where(F.col("list_id").isin(sorted({x for lists in chosen for x in lists})))
-    pairs = own.join(F.broadcast(wanted), "list_id")
-    return best_of_each(scored(pairs, F.col("q"), metric, where, strict_finite), metric, k)
+        own = own.where(F.col("list_id").isin(sorted(asked)))
+    pairs = candidates(own if where is None else own.where(where), queries, metric, k, asked)
+    return best_of_each(scored(pairs, F.col("q"), metric, None, strict_finite), metric, k)

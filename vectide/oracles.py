@@ -77,6 +77,12 @@ def _nearest(q: float) -> str:
     return f"max(value) FILTER (WHERE turn = floor((n - 1) * {q}::DOUBLE + 0.5) + 1) AS p{round(q * 100)}"
 
 
+_GIVEN = f"""WITH {_EVENTS}, c AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS list_id, v FROM ev WHERE id < 64),
+    n AS (SELECT p.id, p.v, c.list_id, row_number() OVER (PARTITION BY p.id ORDER BY {_SQUARED.format(a='p.v', b='c.v')}, c.list_id) AS turn FROM ev p, c),
+    l AS (SELECT id, v, list_id FROM n WHERE turn = 1), q AS (SELECT id, v, list_id FROM n WHERE turn <= 8 AND id % 20 = 0),
+    s AS (SELECT q.id AS qid, l.id, {_SQUARED.format(a='l.v', b='q.v')} AS score FROM q JOIN l USING (list_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s)"""
+
 ORACLES: dict[str, str] = {
     **{f"distance_{m}": _distance(m) for m in ("dot", "l2", "cosine")},
     "cosine_zero_norm_skip": f"WITH {_ZERO_QUERY}, p AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT -1 - vec_id, list_transform(embedding, lambda x: 0::FLOAT) FROM embeddings WHERE vec_id < 5) SELECT vec_id, {_score('cosine', 'embedding', 'q')} AS value FROM p, q WHERE {_DOT.format(a='embedding', b='embedding')} > 1.1920928955078125e-07::DOUBLE",
@@ -108,6 +114,10 @@ ORACLES: dict[str, str] = {
     "collections_list": " UNION ALL ".join(f"SELECT '{n}' AS name, {d} AS dimension, count(*) AS point_count FROM {n}" for n, d in (("embeddings", 64), ("events", 4), ("orders", 2), ("part", 2))),
     "ivf_full_probe_l2": _event_batch("l2", 10),
     "ivf_filtered_dot": _event_batch("dot", 5, "p.event_type = 'click'"),
+    "ivf_given_lists": f"{_GIVEN} SELECT id, list_id FROM l",
+    "ivf_given_probe": f"{_GIVEN} SELECT qid, rank, id, sqrt(score) AS value FROM r WHERE rank <= 10",
+    "ivf_given_recall": f"""{_GIVEN}, e AS (SELECT q.id AS qid, p.id, row_number() OVER (PARTITION BY q.id ORDER BY {_SQUARED.format(a='p.v', b='q.v')}, p.id) AS rank FROM ev p, ev q WHERE q.id % 20 = 0)
+    SELECT count(*) AS hits, count(r.id) AS found FROM e LEFT JOIN (SELECT qid, id FROM r WHERE rank <= 10) r ON e.qid = r.qid AND e.id = r.id WHERE e.rank <= 10""",
     "ivf_probe_count": """WITH l AS (SELECT count(*) AS n, least(count(*), greatest(8, least(256, floor(sqrt(count(*)) + 0.5))))::INT AS lists FROM events),
     c AS (SELECT k, t, lists, greatest(1, least(lists, greatest(8, ceil(k * lists / n))))::INT AS probe FROM l, (SELECT unnest([1, 10, 1000]) AS k), (SELECT unnest([NULL, 0.2, 0.5, 1.0]::DOUBLE[]) AS t))
     SELECT k, t AS target_recall, CASE WHEN t IS NULL THEN probe ELSE least(lists, greatest(probe, ceil(lists::FLOAT * t::FLOAT)))::INT END AS probes FROM c""",
@@ -119,6 +129,9 @@ ORACLES: dict[str, str] = {
     st AS (SELECT user_id FROM last WHERE turn = 1 AND event_type <> 'error'), b AS (SELECT user_id AS id, ev.id AS ord, row_number() OVER (PARTITION BY user_id ORDER BY ev.id) AS turn FROM ev, half WHERE ev.id > h AND event_type <> 'error')
     SELECT id, ord, turn = 1 AND id NOT IN (SELECT user_id FROM st) AS created FROM b""",
     "log_faults": "SELECT event_id AS ord, 'collection does not exist' AS reason FROM events WHERE event_id < 100",
+    "log_lives": f"""WITH {_EVENTS}, g AS (SELECT id, user_id, event_type, event_type = 'view' AND user_id % 97 = 0 AS gone FROM ev),
+    d AS (SELECT event_type, max(id) AS last FROM g WHERE gone GROUP BY 1), live AS (SELECT g.* FROM g LEFT JOIN d USING (event_type) WHERE NOT gone AND (last IS NULL OR id > last))
+    SELECT event_type AS name, 4 AS dimension, count(DISTINCT user_id) AS points FROM live GROUP BY 1""",
     "payload_set": f"WITH {_STATE} SELECT id, event_type, value, 7::BIGINT AS k, 'pro' AS tier FROM st WHERE id % 3 = 0",
     "payload_delete": f"WITH {_STATE} SELECT id, event_type, NULL::DOUBLE AS value, NULL::BIGINT AS k FROM st WHERE id % 2 = 0",
     "tenant_usage": f"WITH {_TENANTS} SELECT split_part(collection, '::', 1) AS tenant, count(*) AS collections, sum(points)::BIGINT AS points FROM c GROUP BY 1",

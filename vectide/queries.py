@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import filters, vector
 from .functions import payload as P
-from .model import CREATE, MUTATION_KINDS, MUTATIONS, PAYLOAD, REMOVE, UPSERT, Metric, Mode
+from .model import CREATE, DELETE, MUTATION_KINDS, MUTATIONS, PAYLOAD, REMOVE, UPSERT, Metric, Mode
 from .operators import ivf, mutations, paging, quotas, reports
 from .operators.search import among, scored, top_1, top_k, top_k_batch, with_payload
 from .plans import planner
 from .plans.workdir import new_folder
 from .sources import ndjson, records
 from .sources.log import MutationLog
+from .sources.store import Store
 from .streaming import rates
 from .streaming.apply import AppliedTable, follow
 
@@ -205,10 +207,18 @@ def collections_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 # inverted-file index
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[ivf.IvfIndex, DataFrame]:
+_indexes: dict[tuple, tuple[ivf.IvfIndex, str]] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, given: int | None = None) -> tuple[ivf.IvfIndex, DataFrame]:
+    """The events' index, built once for each session and table; given: the first so many ids' vectors are its centroids."""
     points = events(spark, sf_dir).select("id", "values", "event_type", "value", "k", "user_id")
-    n = points.count()
-    return ivf.build(points, n, 1, IVF, new_folder(spark, "ivf")), points
+    key = (spark.sparkContext.applicationId, sf_dir, given)
+    if key not in _indexes or not Store(spark, _indexes[key][1]).exists("_SUCCESS"):
+        path = new_folder(spark, "ivf")
+        centroids = np.array([q for _, q in _event_queries(points, given)], np.float64) if given else None
+        _indexes[key] = ivf.build(points, points.count(), 1, IVF, path, centroids), path
+    return _indexes[key][0], points
 
 
 def _event_queries(points: DataFrame, n: int = 20) -> list[tuple[int, list[float]]]:
@@ -257,8 +267,8 @@ def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ivf_probe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, _ = _index(spark, sf_dir)
-    rows = [(k, t, ivf.probe_count(index, k, t)) for k in (1, 10, 1000) for t in (None, 0.2, 0.5, 1.0)]
+    n = events(spark, sf_dir).count()
+    rows = [(k, t, ivf.probes_of(ivf.list_count(n, IVF), n, k, t, IVF)) for k in (1, 10, 1000) for t in (None, 0.2, 0.5, 1.0)]
     return spark.createDataFrame(rows, "k int, target_recall double, probes int")
 
 
@@ -267,6 +277,29 @@ def ivf_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("points"))
 
 
+#: Centroids that are given, so that SQL can build the same lists.
+GIVEN = 64
+
+
+def ivf_given_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which list each event is in."""
+    return _index(spark, sf_dir, GIVEN)[0].lists.select("id", "list_id")
+
+
+def ivf_given_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, points = _index(spark, sf_dir, GIVEN)
+    return _probed(index, _every(points))
+
+
+def ivf_given_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the true ten nearest of all queries are found by the default probe."""
+    index, points = _index(spark, sf_dir, GIVEN)
+    own = _every(points)
+    truth = in_blocks(own, lambda block: top_k_batch(points, block, Metric.L2, 10), "exact-hits")
+    found = _probed(index, own).select("qid", "id", F.lit(1).alias("one"))
+    return truth.select("qid", "id").join(found, ["qid", "id"], "left").agg(F.count(F.lit(1)).alias("hits"), F.count("one").alias("found"))
+
+
 def planner_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mode for every kind of request over the events."""
     n = events(spark, sf_dir).count()
@@ -338,6 +371,18 @@ def log_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.faults(own.where(F.col("ord") != 100).unionByName(late)).select("ord", "reason")
 
 
+def log_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections by event type, which `view` events of users divisible by 97 delete and the others create again: live ones with their points."""
+    own = event_log(spark, sf_dir).drop("collection").join(events(spark, sf_dir).select(F.col("id").alias("ord"), "event_type", "user_id"), "ord")
+    gone = (F.col("event_type") == "view") & (F.col("user_id") % 97 == 0)
+    points = own.where(~gone).select("version", (2 * F.col("ord") + 1).alias("ord"), F.lit(UPSERT).alias("op"), F.col("event_type").alias("collection"), "id", "dimension", "strict_finite", F.coalesce("values", F.array(*[F.lit(0).cast("float")] * 4)).alias("values"), "payload")
+    none = [F.lit(None).cast(MUTATION_KINDS[c]).alias(c) for c in ("values", "payload")]
+    turns = own.select("version", (2 * F.col("ord")).alias("ord"), F.when(gone, DELETE).otherwise(CREATE).alias("op"), F.col("event_type").alias("collection"), F.lit(None).cast("bigint").alias("id"), F.lit(4).alias("dimension"), F.lit(True).alias("strict_finite"), *none)
+    log = points.unionByName(turns)
+    counts = mutations.fold(log).groupBy("collection").agg(F.count(F.lit(1)).alias("points"))
+    return mutations.fold_collections(log).join(counts.withColumnRenamed("collection", "name"), "name", "left").select("name", "dimension", F.coalesce("points", F.lit(0)).alias("points"))
+
+
 def payload_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = mutations.fold(event_log(spark, sf_dir)).select("id", "values", "payload")
     ids = state.where(F.col("id") % 3 == 0).select("id")
@@ -424,12 +469,10 @@ def ndjson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mutations as JSON records and back, folded."""
+    """The mutations as a log of JSON lines in several segments, read back and folded."""
     path = new_folder(spark, "json-log")
-    own = event_log(spark, sf_dir)
-    own.select("version", "ord", records.record_json(F.col("op")).alias("value")).write.parquet(path)
-    read = spark.read.parquet(path).withColumn("r", records.parsed(F.col("value"))).select(*records.as_mutation(F.col("version"), F.col("ord")))
-    return flat(mutations.fold(read))
+    records.write_json_log(create_record(spark).unionByName(event_log(spark, sf_dir)), path)
+    return flat(mutations.fold(records.read_json_log(spark, path)))
 
 
 def stream_log_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,16 +490,14 @@ def stream_rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     root = new_folder(spark, "rates")
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    own = rates.windows(stream, 1, tenant="user_id")
-    query = own.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("tenant", F.unix_timestamp("minute").alias("minute"), "admitted", "rejected")
+    rates.follow(rates.windows(stream, 1, tenant="user_id"), f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return rates.newest(spark, f"{root}/out").select("tenant", F.unix_timestamp("minute").alias("minute"), "admitted", "rejected")
 
 
 def late_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits first, their payload columns afterwards."""
     points = embeddings(spark, sf_dir)
-    return with_payload(top_k(points, first_vector(points), Metric.DOT, 15), points, "label")
+    return with_payload(top_k(points, first_vector(points), Metric.DOT, 15), points, "label", rows=15)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -475,8 +516,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (topk_candidates, centroid_means, nearest_centroid)},
     "late_payload": late_payload,
     **{f.__name__: f for f in (count_points, count_filtered, list_offset, list_after, list_total, point_get, collections_list)},
-    **{f.__name__: f for f in (ivf_full_probe_l2, ivf_default_probe, ivf_filtered_dot, recall_at_10, ivf_probe_count, ivf_list_sizes, planner_choices)},
-    **{f.__name__: f for f in (log_fold, log_store_fold, log_created_flags, log_faults, payload_set, payload_delete)},
+    **{f.__name__: f for f in (ivf_full_probe_l2, ivf_default_probe, ivf_filtered_dot, recall_at_10, ivf_probe_count, ivf_list_sizes, ivf_given_lists, ivf_given_probe, ivf_given_recall, planner_choices)},
+    **{f.__name__: f for f in (log_fold, log_store_fold, log_created_flags, log_faults, log_lives, payload_set, payload_delete)},
     **{f.__name__: f for f in (tenant_usage, memory_used, quota_admit, rate_limit_admit, rate_windows)},
     **{f.__name__: f for f in (percentile_nearest_rank, histogram_percentile, regression_compare, roll_up, max_per_minute, sliding_rates)},
     **{f.__name__: f for f in (ndjson_roundtrip, json_log_roundtrip, stream_log_apply, stream_rate_window)},
