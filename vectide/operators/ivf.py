@@ -181,12 +181,13 @@ def search_batch(index: IvfIndex, queries: Sequence[tuple[int, Sequence[float]]]
     """qid, rank, id and value of the best of the probed lists. Each list's points are multiplied with the queries that probe it, so
     (query, point) rows are made for each partition's candidates only."""
     probe = probe_count(index, k, target_recall)
+    if probe == index.nlist:  # every query looks at every list
+        pairs = candidates(index.lists if where is None else index.lists.where(where), queries, metric, k)
+        return best_of_each(scored(pairs, F.col("q"), metric, None, strict_finite), metric, k)
     asked: dict[int, list[int]] = {}
     for place, lists in enumerate(probes(index, [q for _, q in queries], probe)):
         for i in lists:
             asked.setdefault(i, []).append(place)
-    own = index.lists
-    if probe < index.nlist:
-        own = own.where(F.col("list_id").isin(sorted(asked)))
+    own = index.lists.where(F.col("list_id").isin(sorted(asked)))
     pairs = candidates(own if where is None else own.where(where), queries, metric, k, asked)
     return best_of_each(scored(pairs, F.col("q"), metric, None, strict_finite), metric, k)

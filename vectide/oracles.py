@@ -41,13 +41,13 @@ def _filtered(where: str) -> str:
     SELECT row_number() OVER (ORDER BY score, id) AS rank, id, sqrt(score) AS value, event_type, k FROM s ORDER BY score, id LIMIT 20"""
 
 
-def _batch(metric: str, n: int, k: int = 10) -> str:
-    return f"""WITH s AS (SELECT q.vec_id AS qid, p.vec_id AS id, {_score(metric, 'p.embedding', 'q.embedding')} AS score FROM embeddings p, embeddings q WHERE q.vec_id < {n}),
+def _batch(metric: str, k: int = 10) -> str:
+    return f"""WITH s AS (SELECT q.vec_id AS qid, p.vec_id AS id, {_score(metric, 'p.embedding', 'q.embedding')} AS score FROM embeddings p, embeddings q WHERE q.vec_id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_side(metric)}, id) AS rank FROM s) SELECT qid, rank, id, {_value(metric)} AS value FROM r WHERE rank <= {k}"""
 
 
 def _event_batch(metric: str, k: int, where: str = "TRUE", more: str = "") -> str:
-    return f"""WITH {_EVENTS}, s AS (SELECT q.id AS qid, p.id AS id, p.event_type, {_score(metric, 'p.v', 'q.v')} AS score FROM ev p, ev q WHERE q.id < 20 AND {where}),
+    return f"""WITH {_EVENTS}, s AS (SELECT q.id AS qid, p.id AS id, p.event_type, {_score(metric, 'p.v', 'q.v')} AS score FROM ev p, ev q WHERE q.id % 20 = 0 AND {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_side(metric)}, id) AS rank FROM s) SELECT qid, rank, id, {_value(metric)} AS value{more} FROM r WHERE rank <= {k}"""
 
 
@@ -98,8 +98,8 @@ ORACLES: dict[str, str] = {
     "topk_range": _filtered("value > 10.5 AND value <= 60 AND user_id >= 20 AND user_id < 120"),
     "topk_mixed": _filtered(_MIXED),
     "filter_numeric_tolerance": f"SELECT event_id AS id, {_CLOSE.format(l='value * (1 + 2.220446049250313e-16::DOUBLE)', r='value')} AS near, {_CLOSE.format(l='value * (1 + 1e-9::DOUBLE)', r='value')} AS far, {_CLOSE.format(l='value', r='30.0::DOUBLE')} AS is_30 FROM events",
-    **{f"topk_batch_{m}": _batch(m, 32) for m in ("dot", "l2", "cosine")},
-    "topk_batch_small": _batch("l2", 4),
+    **{f"topk_batch_{m}": _batch(m) for m in ("dot", "l2", "cosine")},
+    "topk_batch_small": _batch("l2"),
     "topk_batch_filtered": _event_batch("l2", 5, "p.event_type = 'click'", ", event_type"),
     "late_payload": _top("dot", 15),
     "topk_candidates": _top("cosine", 12, True, "label = 4 OR vec_id % 7 = 0"),

@@ -24,8 +24,8 @@ from .streaming.apply import AppliedTable, follow
 QUERY = [50.0, 12.0, 5.0, 75.0]
 EVENT_FIELDS = {"event_type": "s", "value": "f", "k": "i", "user_id": "i"}
 IVF = ivf.IvfConfig(min_points=256)
-#: The index is searched for every row whose id is divisible by EVERY, about BLOCK queries at a time.
-EVERY, BLOCK = 20, 1024
+#: Batches search for every row whose id is divisible by EVERY, about BLOCK queries at a time, or SMALL_BLOCK where small batches are the feature.
+EVERY, BLOCK, SMALL_BLOCK = 20, 1024, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,11 +129,23 @@ def filter_numeric_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("id", close(near).alias("near"), close(far).alias("far"), filters.equal(P.tagged(F.col("value"), "f"), 30).alias("is_30"))
 
 
-def _batch(metric: Metric, n: int, k: int = 10):
+def every(points: DataFrame) -> DataFrame:
+    return points.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), F.col("values").alias("q"))
+
+
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], label: str, size: int | None = None) -> DataFrame:
+    """What search finds for queries (qid, q), dealt to blocks of about size (BLOCK) by a hash of qid; a block's rows are written before the next is read."""
+    path = new_folder(queries.sparkSession, label)
+    blocks = max(1, -(-queries.count() // (size or BLOCK)))
+    for i in range(blocks):
+        search(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).write.mode("append").parquet(path)
+    return queries.sparkSession.read.parquet(path)
+
+
+def _batch(metric: Metric, k: int = 10, small: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         points = embeddings(spark, sf_dir)
-        queries = points.where(F.col("id") < n).select(F.col("id").alias("qid"), F.col("values").alias("q"))
-        return top_k_batch(points, queries, metric, k)
+        return in_blocks(every(points), lambda block: top_k_batch(points, block, metric, k), "batch-hits", SMALL_BLOCK if small else None)
 
     return run
 
@@ -158,9 +170,11 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_batch_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads are read once, for the hits of all blocks."""
     points = events(spark, sf_dir)
-    queries = points.where(F.col("id") < 20).select(F.col("id").alias("qid"), F.col("values").alias("q"))
-    return top_k_batch(points, queries, Metric.L2, 5, where({"must": [{"field": "event_type", "value": "click"}]}), payload=["event_type"])
+    clicks = where({"must": [{"field": "event_type", "value": "click"}]})
+    hits = in_blocks(every(points), lambda block: top_k_batch(points, block, Metric.L2, 5, clicks), "batch-hits")
+    return with_payload(hits, points, "event_type")
 
 
 # paging and counts
@@ -216,52 +230,39 @@ def _index(spark: SparkSession, sf_dir: str, given: int | None = None) -> tuple[
     key = (spark.sparkContext.applicationId, sf_dir, given)
     if key not in _indexes or not Store(spark, _indexes[key][1]).exists("_SUCCESS"):
         path = new_folder(spark, "ivf")
-        centroids = np.array([q for _, q in _event_queries(points, given)], np.float64) if given else None
+        centroids = _first_vectors(points, given) if given else None
         _indexes[key] = ivf.build(points, points.count(), 1, IVF, path, centroids), path
     return _indexes[key][0], points
 
 
-def _event_queries(points: DataFrame, n: int = 20) -> list[tuple[int, list[float]]]:
-    return [(r["id"], list(r["values"])) for r in points.where(F.col("id") < n).select("id", "values").orderBy("id").collect()]
-
-
-def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
-    """What search finds for queries (qid, q), dealt to blocks of about BLOCK by a hash of qid; a block's rows are written before the next is read."""
-    path = new_folder(queries.sparkSession, label)
-    blocks = max(1, -(-queries.count() // BLOCK))
-    for i in range(blocks):
-        search(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).write.mode("append").parquet(path)
-    return queries.sparkSession.read.parquet(path)
-
-
-def _every(points: DataFrame) -> DataFrame:
-    return points.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), F.col("values").alias("q"))
+def _first_vectors(points: DataFrame, n: int) -> np.ndarray:
+    return np.array([list(r["values"]) for r in points.where(F.col("id") < n).select("id", "values").orderBy("id").collect()], np.float64)
 
 
-def _probed(index: ivf.IvfIndex, queries: DataFrame) -> DataFrame:
-    """The ten nearest of each query (qid, q), by the default number of lists."""
-    own = lambda block: [(r["qid"], list(r["q"])) for r in block.collect()]
-    return in_blocks(queries, lambda block: ivf.search_batch(index, own(block), Metric.L2, 10), "ivf-hits")
+def _probed(index: ivf.IvfIndex, queries: DataFrame, metric: Metric = Metric.L2, k: int = 10, target_recall: float | None = None, own: Column | None = None) -> DataFrame:
+    """The k nearest of each query (qid, q), by the default number of lists or the one that target_recall asks for."""
+    asked = lambda block: [(r["qid"], list(r["q"])) for r in block.collect()]
+    return in_blocks(queries, lambda block: ivf.search_batch(index, asked(block), metric, k, target_recall, own), "ivf-hits")
 
 
 def ivf_full_probe_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, points = _index(spark, sf_dir)
-    return ivf.search_batch(index, _event_queries(points), Metric.L2, 10, 1.0)
+    return _probed(index, every(points), target_recall=1.0)
 
 
 def ivf_default_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, points = _index(spark, sf_dir)
-    return _probed(index, _every(points))
+    return _probed(index, every(points))
 
 
 def ivf_filtered_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, points = _index(spark, sf_dir)
-    return ivf.search_batch(index, _event_queries(points), Metric.DOT, 5, 1.0, where({"must": [{"field": "event_type", "value": "click"}]}))
+    return _probed(index, every(points), Metric.DOT, 5, 1.0, where({"must": [{"field": "event_type", "value": "click"}]}))
 
 
 def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, points = _index(spark, sf_dir)
-    own = _every(points)
+    own = every(points)
     truth = in_blocks(own, lambda block: top_k_batch(points, block, Metric.L2, 10), "exact-hits")
     return reports.mean_recall(_probed(index, own), truth)
 
@@ -288,13 +289,13 @@ def ivf_given_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ivf_given_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, points = _index(spark, sf_dir, GIVEN)
-    return _probed(index, _every(points))
+    return _probed(index, every(points))
 
 
 def ivf_given_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the true ten nearest of all queries are found by the default probe."""
     index, points = _index(spark, sf_dir, GIVEN)
-    own = _every(points)
+    own = every(points)
     truth = in_blocks(own, lambda block: top_k_batch(points, block, Metric.L2, 10), "exact-hits")
     found = _probed(index, own).select("qid", "id", F.lit(1).alias("one"))
     return truth.select("qid", "id").join(found, ["qid", "id"], "left").agg(F.count(F.lit(1)).alias("hits"), F.count("one").alias("found"))
@@ -510,8 +511,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_tie_break": topk_tie_break,
     **{name: _filtered(name) for name in FILTERS},
     "filter_numeric_tolerance": filter_numeric_tolerance,
-    **{f"topk_batch_{m.value}": _batch(m, 32) for m in Metric},
-    "topk_batch_small": _batch(Metric.L2, 4),
+    **{f"topk_batch_{m.value}": _batch(m) for m in Metric},
+    "topk_batch_small": _batch(Metric.L2, small=True),
     "topk_batch_filtered": topk_batch_filtered,
     **{f.__name__: f for f in (topk_candidates, centroid_means, nearest_centroid)},
     "late_payload": late_payload,
