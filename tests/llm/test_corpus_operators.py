@@ -4,10 +4,12 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vectide.llm import line_dedup, mixing, near_dup, url_filter, warc
+from vectide.llm.sql import ORACLES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 STRIP = " \t\n\x0b\x0c\r"
@@ -316,7 +318,7 @@ def brute_judge(rows, rules=url_filter.RULES):
             total[a] += n
         start = {h: 1 / len(seeds) for h in seeds}
         rank = dict(start)
-        for _ in range(url_filter.STEPS if edges else 0):
+        for _ in range(300 if edges else 0):
             new = defaultdict(float, {h: (1 - url_filter.DAMPING) * x for h, x in start.items()})
             for (a, b), n in own.items():
                 new[b] += url_filter.DAMPING * rank.get(a, 0) * n / total[a]
@@ -359,6 +361,26 @@ def test_url_filter(spark):
     assert found == brute_judge(rows)
     assert ("farm2.com", "block") in {(r[1], r[4]) for r in found} and ("friend.com", "allow") in {(r[1], r[4]) for r in found}
     assert url_filter.judge(pages.limit(0)).count() == 0
+    assert found == sql_verdicts(rows)
+
+
+def sql_verdicts(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    return sorted(con.execute(ORACLES["op7_url_filter"]).fetchall(), key=str)
+
+
+def test_distrust_reaches_far_and_settles(spark):
+    link = lambda *hosts: "".join(f'<a href="//{h}/x">' for h in hosts)
+    chain = [(i, f"http://c{i}.com/", link(f"c{i + 1}.com" if i < 30 else "bad.net")) for i in range(1, 31)]
+    # a ring whose distrust goes round and a pair that lean to either side
+    ring = [(40, "http://bad.net/", link("r1.com")), (41, "http://r1.com/", link("r2.com")), (42, "http://r2.com/", link("r1.com", "bad.net"))]
+    mixed = [(50, "http://good.org/fr/", link("m1.com", "m1.com", "m2.com")), (51, "http://m1.com/", link("bad.net", "m2.com")), (52, "http://m2.com/", link("m1.com", "r1.com")), (53, "http://far.com/", link("good.org")), (54, "http://plain.com/", link("good.org")[:9])]
+    rows = [*chain, *ring, *mixed]
+    found = sorted((tuple(r) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    assert found == brute_judge(rows) == sql_verdicts(rows)
+    assert ("c1.com", "block") in {(r[1], r[4]) for r in found} and ("plain.com", "allow") in {(r[1], r[4]) for r in found}
 
 
 # WARC

@@ -75,8 +75,8 @@ FROM p LEFT JOIN f ON p.h = f.h
 """
 
 
-def _op7(steps: int = 12) -> str:
-    """The propagation is unrolled: a pair of tables for each step."""
+def _op7(tolerance: str = "1e-6", cut: int = 4) -> str:
+    """Mass on its way by step, until at a multiple of `cut` steps at most `tolerance` is left."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rules = [("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "net", "/")]  # longest first
     case = lambda value: " ".join(f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(a, h, p)}'" for a, h, p in rules)
@@ -91,12 +91,14 @@ def _op7(steps: int = 12) -> str:
     for kind, source, target, share in (("t", "source", "target", "allowed"), ("d", "target", "source", "blocked")):
         parts.append(f"f{kind} AS (SELECT {source} AS source, {target} AS target, weight / sum(weight) OVER (PARTITION BY {source}) AS part FROM e)")
         parts.append(f"s{kind} AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS mass FROM h WHERE {share} > 0.5)")
-        parts.append(f"{kind}0 AS (SELECT host, mass AS rank FROM s{kind})")
-        for i in range(1, steps + 1):
-            parts.append(f"{kind}{i} AS (SELECT host, sum(rank) AS rank FROM (SELECT target AS host, 0.85::DOUBLE * rank * part AS rank FROM {kind}{i - 1} JOIN f{kind} ON host = source UNION ALL SELECT host, 0.15::DOUBLE * mass FROM s{kind}) GROUP BY host)")
-    return f"""WITH {', '.join(parts)}
-    SELECT page_id, r.host, path, rule, coalesce(action, CASE WHEN coalesce(d{steps}.rank, 0) > coalesce(t{steps}.rank, 0) AND allowed <= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-    FROM r LEFT JOIN h ON r.host = h.host LEFT JOIN t{steps} ON r.host = t{steps}.host LEFT JOIN d{steps} ON r.host = d{steps}.host"""
+        parts.append(f"""m{kind} AS (SELECT 0 AS step, host, mass AS moving, sum(mass) OVER () AS left_over FROM s{kind} WHERE EXISTS (SELECT 1 FROM e)
+        UNION ALL SELECT step + 1, target, sum(0.85::DOUBLE * moving * part), sum(sum(0.85::DOUBLE * moving * part)) OVER () FROM m{kind} JOIN f{kind} ON host = source
+        WHERE step % {cut} <> 0 OR left_over > {tolerance}::DOUBLE GROUP BY step, target)""")
+        parts.append(f"""n{kind} AS (SELECT host, sum(CASE WHEN step % {cut} = 0 AND left_over <= {tolerance}::DOUBLE THEN moving ELSE 0.15::DOUBLE * moving END) AS rank FROM m{kind} GROUP BY host
+        UNION ALL SELECT host, mass FROM s{kind} WHERE NOT EXISTS (SELECT 1 FROM e))""")
+    return f"""WITH RECURSIVE {', '.join(parts)}
+    SELECT page_id, r.host, path, rule, coalesce(action, CASE WHEN coalesce(nd.rank, 0) > coalesce(nt.rank, 0) AND allowed <= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM r LEFT JOIN h ON r.host = h.host LEFT JOIN nt ON r.host = nt.host LEFT JOIN nd ON r.host = nd.host"""
 
 
 ORACLES = {"op5_mixing": OP5, "op7_url_filter": _op7(), "op8_line_dedup": OP8, "op9_warc": OP9, "op10_near_dup": OP10}

@@ -10,10 +10,14 @@ block over half. Trust is personalised PageRank from the trusted seeds along the
 blocked seeds along the reversed links, so it reaches those who link to blocked hosts. A host is blocked if its distrust is
 over `margin` times its trust and it isn't a trusted seed; all others, links or not, are allowed.
 
+Steps go on until at most `TOLERANCE` of the start's mass is still on its way (86 steps at most with DAMPING, fewer where links
+lead to sinks); what is left then stays where it is. So ranks are off by TOLERANCE in sum, and trust or distrust that could only
+come from seeds over 86 links away isn't counted.
+
 Edges are aggregated before any shuffle of theirs counts: a host with a third of all pages is one row a task. Each step is one
-join of edges and ranks by host and one aggregation; ranks are written to the shared folder every `CUT` steps. Hosts that only
-link to themselves leave no edge; without edges the seeds' own ranks are the result and no step is run. Repeated rows count as
-pages of their own and stay rows; an empty table gives an empty result; other columns aren't read.
+join of edges and ranks by host and one aggregation; ranks are written to the shared folder every `CUT` steps, where the mass
+that is left is read. Hosts that only link to themselves leave no edge; without edges the seeds' own ranks are the result and no
+step is run. Repeated rows count as pages of their own and stay rows; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from .common import materialize, small
 
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, STEPS, CUT, MARGIN = 0.85, 12, 4, 1.0
+DAMPING, TOLERANCE, CUT, MARGIN = 0.85, 1e-6, 4, 1.0
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'<>\s]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,18 +58,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("source", "target").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, rank): personalised PageRank of (host, mass) seeds over (source, target, weight) edges; a sink's rank goes back to the seeds by its (1 - damping) only."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): personalised PageRank of (host, mass) seeds over (source, target, weight) edges; a sink's rank goes back to the seeds by its (1 - damping) only.
+
+    A host's row holds its rank so far and the mass that arrived in the last step: (1 - damping) of that stays, the rest goes on. Every host
+    has an edge to itself (part null) that carries its own rank, so a step reads the ranks once.
+    """
     total = edges.groupBy("source").agg(F.sum("weight").alias("total"))
-    flow = materialize(edges.join(total, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("part")), "flow")
-    ranks = materialize(seeds.select("host", F.col("mass").alias("rank")), "ranks")
-    start = seeds.select("host", ((1 - damping) * F.col("mass")).alias("rank"))
-    for step in range(1, steps + 1):
-        sent = ranks.join(flow, ranks["host"] == flow["source"]).groupBy(F.col("target").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("part"))).alias("rank"))
-        ranks = sent.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if step % CUT == 0 or step == steps:
-            ranks = materialize(ranks, "ranks")
-    return ranks
+    hosts = edges.select(F.col("source").alias("host")).union(edges.select("target")).union(seeds.select("host")).distinct()
+    stay = hosts.select(F.col("host").alias("source"), F.col("host").alias("target"), F.lit(None).cast("double").alias("part"))
+    flow = materialize(edges.join(total, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("part")).unionByName(stay), "flow")
+    own = F.col("part").isNull()
+    kept = F.sum(F.when(own, F.col("rank") + (1 - damping) * F.col("moving")).otherwise(0.0)).alias("rank")
+    sent = F.sum(F.when(own, 0.0).otherwise(damping * F.col("moving") * F.col("part"))).alias("moving")
+    ranks = materialize(seeds.select("host", F.lit(0.0).alias("rank"), F.col("mass").alias("moving")), "ranks")
+    while (ranks.agg(F.sum("moving")).first()[0] or 0.0) > tolerance:
+        for _ in range(CUT):
+            ranks = ranks.join(flow, ranks["host"] == flow["source"]).groupBy(F.col("target").alias("host")).agg(kept, sent)
+        ranks = materialize(ranks, "ranks")
+    return ranks.select("host", (F.col("rank") + F.col("moving")).alias("rank"))
 
 
 def host_verdicts(pages: DataFrame, margin: float = MARGIN) -> DataFrame:
