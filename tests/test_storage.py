@@ -123,6 +123,25 @@ def test_binary_log(spark, tmp_path):
     assert list(records.frames(b"")) == []
 
 
+def test_binary_log_in_segments(spark, tmp_path):
+    rows, live = random_log(80, 5)
+    records.write_binary_log(spark.createDataFrame(rows, MUTATIONS).repartition(4), f"file://{tmp_path}/out", b"TESTLOG1", segment=700)
+    files = sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.endswith(".log"))
+    assert len(files) > 4 and not (tmp_path / "out" / "_attempts").exists()
+    own = records.read_binary_log(spark, f"file://{tmp_path}/out", b"TESTLOG1")
+    assert [(r.ord, r.op) for r in own.orderBy("ord").collect()] == [(i, r[2]) for i, r in enumerate(rows)]
+    assert {(r.collection, r.id): r["values"][0] for r in mutations.fold(own).collect()} == {(c, i): v for c, p in live.items() for i, v in p.items()}
+
+
+def test_snapshot_is_written_and_read(spark, tmp_path):
+    rows, live = random_log(80, 6)
+    log = spark.createDataFrame(rows, MUTATIONS).repartition(4)
+    records.write_snapshot(mutations.fold_collections(log), mutations.fold(log), f"file://{tmp_path}/out")
+    collections, points = records.read_snapshot(spark, f"file://{tmp_path}/out")
+    assert {r.name for r in collections.collect()} == set(live)
+    assert {(r.collection, r.id): r["values"][0] for r in points.collect()} == {(c, i): v for c, p in live.items() for i, v in p.items()}
+
+
 def test_foreign_snapshots(spark, tmp_path):
     path = tmp_path / "s.json"
     path.write_text("".join(json.dumps(x) + "\n" for x in [{"type": "snapshot_header", "version": 2}, *LINES[:3]]))

@@ -124,7 +124,7 @@ ORACLES: dict[str, str] = {
     "planner_choices": """WITH r AS (SELECT asked, metric, index_fits, n_queries, (SELECT count(*) FROM events) AS n FROM (SELECT unnest(['exact', 'ivf', 'auto']) AS asked), (SELECT unnest(['dot', 'l2', 'cosine']) AS metric), (SELECT unnest([FALSE, TRUE]) AS index_fits), (SELECT unnest([1, 32]) AS n_queries)),
     c AS (SELECT *, asked = 'exact' OR (asked = 'auto' AND (metric <> 'l2' OR n < 256 OR n_queries >= 16)) AS plain FROM r)
     SELECT asked, metric, index_fits, n_queries, CASE WHEN NOT plain AND index_fits THEN 'ivf' ELSE 'exact' END AS mode, NOT plain AND NOT index_fits AS wants_index, NOT plain AND NOT index_fits AND asked = 'ivf' AS fallback FROM c""",
-    **{n: _FOLD for n in ("log_fold", "log_store_fold", "ndjson_roundtrip", "json_log_roundtrip", "stream_log_apply")},
+    **{n: _FOLD for n in ("log_fold", "log_store_fold", "ndjson_roundtrip", "json_log_roundtrip", "binary_log_roundtrip", "snapshot_roundtrip", "backup_roundtrip", "stream_log_apply")},
     "log_created_flags": f"""WITH {_EVENTS}, half AS (SELECT max(id) // 2 AS h FROM ev), last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS turn FROM ev, half WHERE id <= h),
     st AS (SELECT user_id FROM last WHERE turn = 1 AND event_type <> 'error'), b AS (SELECT user_id AS id, ev.id AS ord, row_number() OVER (PARTITION BY user_id ORDER BY ev.id) AS turn FROM ev, half WHERE ev.id > h AND event_type <> 'error')
     SELECT id, ord, turn = 1 AND id NOT IN (SELECT user_id FROM st) AS created FROM b""",
@@ -145,6 +145,11 @@ ORACLES: dict[str, str] = {
     c AS (SELECT event_type, bucket, count(*) AS n FROM b GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY event_type) AS whole FROM c)
     SELECT event_type, ({list((*_BOUNDS, _BOUNDS[-1]))})[min(bucket) FILTER (WHERE upto >= greatest(1, round_even(whole * 0.95::DOUBLE, 0))) + 1] AS percentile FROM r GROUP BY event_type""",
     "regression_compare": _compare(),
+    "alerts_firing": """WITH g AS (SELECT event_type, count(*)::DOUBLE AS events, round(avg(value), 6) + 0.0 AS mean, (SELECT count(*) FROM events)::DOUBLE AS whole FROM events GROUP BY 1),
+    m AS (SELECT 'events_' || event_type AS metric, events AS value FROM g UNION ALL SELECT 'share_' || event_type, events / whole FROM g UNION ALL SELECT 'mean_' || event_type, mean FROM g),
+    a(rule, metric, side, bound) AS (VALUES ('errors_many', 'share_error', '>', 0.05::DOUBLE), ('errors_most', 'share_error', '>', 0.5), ('clicks_few', 'share_click', '<', 0.5), ('views_none', 'events_view', '<', 1.0),
+      ('views_many', 'events_view', '>', 10.0), ('value_of_clicks', 'mean_click', '>', 1.0), ('value_of_views', 'mean_view', '<', 1.0))
+    SELECT rule, metric, value FROM m JOIN a USING (metric) WHERE (side = '>' AND value > bound) OR (side = '<' AND value < bound)""",
     "roll_up": "SELECT event_type, user_id, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(median(value), 6) + 0.0 AS median, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2",
     "max_per_minute": "SELECT (floor(epoch(ts) / 60) * 60)::BIGINT AS minute, max(value) AS most FROM events GROUP BY 1",
     "sliding_rates": "WITH w AS (SELECT event_type, unnest([floor(epoch(ts) / 1800) * 1800, floor(epoch(ts) / 1800) * 1800 - 1800])::BIGINT AS start FROM events) SELECT event_type, start, count(*) AS events FROM w GROUP BY 1, 2",

@@ -15,7 +15,7 @@ from .operators import ivf, mutations, paging, quotas, reports
 from .operators.search import among, scored, top_1, top_k, top_k_batch, with_payload
 from .plans import planner
 from .plans.workdir import new_folder
-from .sources import ndjson, records
+from .sources import backup, ndjson, records
 from .sources.log import MutationLog
 from .sources.store import Store
 from .streaming import rates
@@ -24,6 +24,7 @@ from .streaming.apply import AppliedTable, follow
 QUERY = [50.0, 12.0, 5.0, 75.0]
 EVENT_FIELDS = {"event_type": "s", "value": "f", "k": "i", "user_id": "i"}
 IVF = ivf.IvfConfig(min_points=256)
+MAGIC = b"FRAMES01"
 #: Batches search for every row whose id is divisible by EVERY, about BLOCK queries at a time, or SMALL_BLOCK where small batches are the feature.
 EVERY, BLOCK, SMALL_BLOCK = 20, 1024, 8
 
@@ -446,6 +447,21 @@ def regression_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.compare(side(own.where(F.col("id") <= half)), side(own.where(F.col("id") > half)), "event_type")
 
 
+#: name -> (metric, side, bound)
+ALERTS = {
+    "errors_many": ("share_error", ">", 0.05), "errors_most": ("share_error", ">", 0.5), "clicks_few": ("share_click", "<", 0.5),
+    "views_none": ("events_view", "<", 1.0), "views_many": ("events_view", ">", 10.0), "value_of_clicks": ("mean_click", ">", 1.0), "value_of_views": ("mean_view", "<", 1.0),
+}
+
+
+def alerts_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of ALERTS that fire on the events' counts, shares and mean values by type."""
+    own = events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("events"), (F.round(F.avg("value"), 6) + 0.0).alias("mean"))
+    own = own.crossJoin(F.broadcast(own.agg(F.sum("events").alias("whole"))))
+    each = [F.struct(F.concat(F.lit(f"{n}_"), F.col("event_type")).alias("metric"), v.alias("value")) for n, v in (("events", F.col("events")), ("share", F.col("events") / F.col("whole")), ("mean", F.col("mean")))]
+    return reports.alerts(own.select(F.explode(F.array(*each)).alias("m")).select("m.*"), ALERTS)
+
+
 def roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = reports.roll_up(events(spark, sf_dir), ["event_type", "user_id"], "value")
     return own.select("event_type", "user_id", "n", (F.round("mean", 6) + 0.0).alias("mean"), (F.round("median", 6) + 0.0).alias("median"), "least", "most")
@@ -476,6 +492,32 @@ def json_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(mutations.fold(records.read_json_log(spark, path)))
 
 
+def binary_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mutations as framed segments, read back and folded."""
+    path = new_folder(spark, "binary-log")
+    records.write_binary_log(create_record(spark).unionByName(event_log(spark, sf_dir)), path, MAGIC)
+    return flat(mutations.fold(records.read_binary_log(spark, path, MAGIC)))
+
+
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of the mutations as a snapshot of lines, read back."""
+    path = new_folder(spark, "snapshot")
+    log = create_record(spark).unionByName(event_log(spark, sf_dir))
+    records.write_snapshot(mutations.fold_collections(log), mutations.fold(log), path)
+    return flat(records.read_snapshot(spark, path)[1])
+
+
+def backup_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored log that is backed up, verified and restored under another root, and loaded from there."""
+    root, target, restored = (new_folder(spark, label) for label in ("log", "backup", "restored"))
+    log = MutationLog(spark, root)
+    log.append(create_record(spark))
+    log.append(event_log(spark, sf_dir))
+    backup.backup(spark, root, target)
+    backup.restore(spark, target, restored)
+    return flat(MutationLog(spark, restored).load().points)
+
+
 def stream_log_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log followed as a stream, its batches out of order."""
     root = new_folder(spark, "stream")
@@ -520,8 +562,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (ivf_full_probe_l2, ivf_default_probe, ivf_filtered_dot, recall_at_10, ivf_probe_count, ivf_list_sizes, ivf_given_lists, ivf_given_probe, ivf_given_recall, planner_choices)},
     **{f.__name__: f for f in (log_fold, log_store_fold, log_created_flags, log_faults, log_lives, payload_set, payload_delete)},
     **{f.__name__: f for f in (tenant_usage, memory_used, quota_admit, rate_limit_admit, rate_windows)},
-    **{f.__name__: f for f in (percentile_nearest_rank, histogram_percentile, regression_compare, roll_up, max_per_minute, sliding_rates)},
-    **{f.__name__: f for f in (ndjson_roundtrip, json_log_roundtrip, stream_log_apply, stream_rate_window)},
+    **{f.__name__: f for f in (percentile_nearest_rank, histogram_percentile, regression_compare, alerts_firing, roll_up, max_per_minute, sliding_rates)},
+    **{f.__name__: f for f in (ndjson_roundtrip, json_log_roundtrip, binary_log_roundtrip, snapshot_roundtrip, backup_roundtrip, stream_log_apply, stream_rate_window)},
 }
 
 

@@ -29,7 +29,7 @@ def files_under(store: Store) -> list[str]:
     return sorted(found)
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
 
 
@@ -37,8 +37,8 @@ def copied(spark: SparkSession, names: list[str], source: str, target: str | Non
     """name, size and sha256 of files as they are copied (target None: as they are read)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, base = _open(source)
-        dst, to = _open(target) if target else (None, "")
+        src, base = open_fs(source)
+        dst, to = open_fs(target) if target else (None, "")
         for batch in batches:
             rows = []
             for name in batch.column(0).to_pylist():

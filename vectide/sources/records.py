@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +21,16 @@ from ..model import CREATE, DELETE, REMOVE, UPSERT
 from ..operators.mutations import fold, fold_collections
 from ..plans.sizes import broadcast_if_small
 from ..shipping import ship
+from .backup import open_fs
+from .log import as_mutations
 from .store import Store
 
 RECORD = "type string, version int, name string, dimension int, strict_finite boolean, collection string, id bigint, values array<float>, payload variant, bad string"
 #: Bytes of a frame's payload at most.
 MAX_FRAME = 64 << 20
 FRAME = struct.Struct("<II")
+#: Frames of an Arrow batch; bytes of a segment that is written, as a segment is read by one task.
+FRAMES, SEGMENT = 10_000, 256 << 20
 
 
 def parsed(text: Column) -> Column:
@@ -101,27 +106,70 @@ def frames(data: bytes, magic: bytes | None = None) -> Iterator[tuple[int, bytes
         at += FRAME.size + size
 
 
+def frame(payload: bytes) -> bytes:
+    return FRAME.pack(len(payload), zlib.crc32(payload)) + payload
+
+
 def framed(payloads: list[bytes], magic: bytes) -> bytes:
-    return magic + b"".join(FRAME.pack(len(p), zlib.crc32(p)) + p for p in payloads)
+    return magic + b"".join(map(frame, payloads))
 
 
 def read_binary_log(spark: SparkSession, path: str, magic: bytes | None = None, version: int = 1) -> DataFrame:
-    """Mutations of a framed log: one file is one task, as its frames can only be found from its start."""
+    """Mutations of a framed log: a file, or a folder of segments in the order of their names. One file is one task, as its frames can only
+    be found from its start. ord numbers the frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = list(frames(content.as_py(), magic))
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([p.decode() for _, p in found], pa.string())], names=["n", "value"])
+                for at in range(0, len(found), FRAMES):
+                    some = found[at : at + FRAMES]
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(some), pa.string()), pa.array([n for n, _ in some], pa.int64()), pa.array([p.decode() for _, p in some], pa.string())], names=["file", "row", "value"])
 
     ship(spark)
-    own = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "n bigint, value string")
-    return own.withColumn("r", parsed(F.col("value"))).select(*as_mutation(F.lit(version), F.col("n")))
+    own = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row bigint, value string")
+    own = numbered(own.withColumn("at", F.lit(0).cast("bigint")))
+    return own.withColumn("r", parsed(F.col("value"))).select(*as_mutation(F.lit(version), F.col("ord")))
+
+
+def write_binary_log(log: DataFrame, path: str, magic: bytes, segment: int = SEGMENT) -> None:
+    """A framed log in (version, ord) order, as segments of about `segment` bytes that their names order. Tasks write under names of their
+    attempts; those of the attempts that counted are then renamed, so a task that is run again leaves no second copy."""
+    temp = f"{path.rstrip('/')}/_attempts"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, to = open_fs(temp)
+        place.create_dir(to, recursive=True)
+        task = TaskContext.get()
+        names, out, size = [], None, 0
+        for batch in batches:
+            for value in batch.column(0):
+                data = frame(value.as_py().encode())
+                if out is None or size + len(data) > segment:
+                    if out:
+                        out.close()
+                    names.append(f"{task.partitionId():06d}-{len(names):06d}.{task.taskAttemptId()}")
+                    out, size = place.open_output_stream(f"{to}/{names[-1]}", compression=None), 0
+                    out.write(magic)
+                out.write(data)
+                size += len(data)
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    ship(log.sparkSession)
+    values = log.orderBy("version", "ord").select(record_json(F.col("op")).alias("value"))
+    store = Store(log.sparkSession, path)
+    for r in values.mapInArrow(run, "name string").collect():
+        store.move_new(f"_attempts/{r['name']}", f"{r['name'].split('.')[0]}.log")
+    store.delete("_attempts")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Collections and points of a snapshot file: lines after a header of version 2, or one document of version 1."""
-    first = spark.read.text(path).where(F.trim("value") != "").first()
+    """Collections and points of a snapshot: lines after a header of version 2, in a file or a folder's files by their names, or a file with
+    one document of version 1."""
+    head_file = Store(spark, path).first_file()
+    first = spark.read.text(head_file).where(F.trim("value") != "").first() if head_file else None
     if first is None:
         log = spark.createDataFrame([], "value string").withColumn("r", parsed(F.col("value"))).select(*as_mutation(F.lit(0), F.lit(0)))
         return fold_collections(log), fold(log).drop("version", "ord")
@@ -140,6 +188,13 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return fold_collections(log), fold(log).drop("version", "ord")
 
 
+def write_snapshot(collections: DataFrame, points: DataFrame, path: str) -> None:
+    """A snapshot of version 2: the header, collections, then points by collection and id, as part files that their names order."""
+    own = as_mutations(collections, points).select("ord", "collection", "id", record_json(F.col("op")).alias("value"))
+    head = own.sparkSession.createDataFrame([(-1, None, None, json.dumps({"type": "snapshot_header", "version": 2}))], own.schema)
+    head.unionByName(own).orderBy("ord", "collection", "id").select("value").write.text(path)
+
+
 def _header(line: str) -> dict | None:
     try:
         found = json.loads(line)

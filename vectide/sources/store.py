@@ -54,14 +54,23 @@ class Store:
         finally:
             stream.close()
 
-    def ends_with_newline(self) -> bool:
-        """Whether the root, a file or the last file with bytes of a folder, ends its last line; true without any byte."""
+    def _data_files(self) -> list:
+        """The root, a file, or the files with bytes of a folder, by name."""
         top = self.fs.getFileStatus(self._path(self.root))
         files = self.fs.listStatus(top.getPath()) if top.isDirectory() else [top]
         full = [f for f in files if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+        return sorted(full, key=lambda f: f.getPath().getName())
+
+    def first_file(self) -> str | None:
+        files = self._data_files()
+        return files[0].getPath().toString() if files else None
+
+    def ends_with_newline(self) -> bool:
+        """Whether the root, a file or the last file with bytes of a folder, ends its last line; true without any byte."""
+        full = self._data_files()
         if not full:
             return True
-        last = max(full, key=lambda f: f.getPath().getName())
+        last = full[-1]
         stream = self.fs.open(last.getPath())
         try:
             stream.seek(last.getLen() - 1)
