@@ -242,3 +242,19 @@ def test_counts_are_known_without_folding_the_log(engine, monkeypatch):
     other.delete_collection("b")
     assert engine.list_collections() == other.list_collections() and engine.count_points("a") == 3
     assert other.get_collection("a")["point_count"] == 3
+
+
+def test_a_failed_snapshot_keeps_the_write_and_tells(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, f"{tmp_path}/e", Limits(compact_after=2))
+    engine.create_collection("c", 2)
+    fails = lambda: (_ for _ in ()).throw(OSError("no space"))
+    with monkeypatch.context() as m:
+        m.setattr(engine.log, "compact", fails)
+        engine.upsert_point("c", 1, [1.0, 2.0])
+    values = lambda: {r.metric: r.value for r in engine.metrics().collect()}
+    assert not engine.ready
+    assert (values()["ready"], values()["snapshot_failures"], values()["snapshots"]) == (0, 1, 0)
+    assert Engine(spark, f"{tmp_path}/e").get_point("c", 1)["values"] == [1.0, 2.0]
+    engine.upsert_point("c", 2, [3.0, 4.0])
+    assert engine.ready
+    assert (values()["ready"], values()["snapshots"], values()["snapshot_version"], values()["points"]) == (1, 1, 3, 2)

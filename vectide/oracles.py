@@ -57,6 +57,8 @@ _EQUAL_5 = _CLOSE.format(l="k::DOUBLE", r="5.0::DOUBLE")
 _MIXED = f"coalesce(value >= 5, FALSE) AND (event_type = 'view' OR coalesce(k <= 30, FALSE)) AND NOT ({_EQUAL_75})"
 _STATE = f"{_EVENTS}, last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS turn FROM ev), st AS (SELECT user_id AS id, event_type, value, k FROM last WHERE turn = 1 AND event_type <> 'error')"
 _FOLD = f"WITH {_STATE} SELECT id, event_type, value, k FROM st"
+_DOCS = """a AS (SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN list_reverse(embedding) ELSE embedding END AS v,
+    CASE vec_id WHEN 6 THEN 60 WHEN 7 THEN NULL ELSE label END::BIGINT AS label FROM embeddings WHERE vec_id <> 5)"""
 _TENANTS = "c AS (SELECT c_nationkey::VARCHAR || '::' || c_mktsegment AS collection, count(*) AS points FROM customer GROUP BY 1)"
 _BOUNDS = (50, 100, 250, 500, 1_000, 2_000, 5_000, 10_000, 20_000, 50_000, 100_000, 250_000, 500_000, 1_000_000, 2_000_000, 5_000_000, 10_000_000)
 _RATES = f"WITH {_EVENTS}, w AS (SELECT user_id AS tenant, floor(epoch(ts) / 60)::BIGINT AS minute, count(*) AS n FROM ev GROUP BY 1, 2) SELECT tenant, {{minute}} AS minute, least(n, 1) AS admitted, n - least(n, 1) AS rejected FROM w"
@@ -129,6 +131,10 @@ ORACLES: dict[str, str] = {
     st AS (SELECT user_id FROM last WHERE turn = 1 AND event_type <> 'error'), b AS (SELECT user_id AS id, ev.id AS ord, row_number() OVER (PARTITION BY user_id ORDER BY ev.id) AS turn FROM ev, half WHERE ev.id > h AND event_type <> 'error')
     SELECT id, ord, turn = 1 AND id NOT IN (SELECT user_id FROM st) AS created FROM b""",
     "log_faults": "SELECT event_id AS ord, 'collection does not exist' AS reason FROM events WHERE event_id < 100",
+    "engine_points": f"WITH {_DOCS} SELECT 'a' AS tenant, id, v[1]::DOUBLE AS first, v[64]::DOUBLE AS last, coalesce(label, -1) AS label FROM a UNION ALL SELECT 'b', 7, 1.5::DOUBLE, 1.5::DOUBLE, 2",
+    "engine_collections": f"WITH {_DOCS}, n AS (SELECT count(*) AS n FROM a) SELECT 'a' AS tenant, 'docs' AS name, 64 AS dimension, TRUE AS strict_finite, n AS carried, n AS counted FROM n UNION ALL VALUES ('b', 'docs', 64, TRUE, 1, 1), ('b', 'pairs', 2, TRUE, 0, 0)",
+    "engine_batch": f"""WITH {_DOCS}, s AS (SELECT q.vec_id AS qid, a.id, a.label, {_score('l2', 'a.v', 'q.embedding')} AS score FROM a, embeddings q WHERE q.vec_id % 20 = 0 AND a.label >= 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s) SELECT qid, rank, id, sqrt(score) AS value, label FROM r WHERE rank <= 5""",
     "log_lives": f"""WITH {_EVENTS}, g AS (SELECT id, user_id, event_type, event_type = 'view' AND user_id % 97 = 0 AS gone FROM ev),
     d AS (SELECT event_type, max(id) AS last FROM g WHERE gone GROUP BY 1), live AS (SELECT g.* FROM g LEFT JOIN d USING (event_type) WHERE NOT gone AND (last IS NULL OR id > last))
     SELECT event_type AS name, 4 AS dimension, count(DISTINCT user_id) AS points FROM live GROUP BY 1""",

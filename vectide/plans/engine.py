@@ -6,6 +6,7 @@ State is the mutation log's; an operation checks on the driver, then appends a b
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -25,6 +26,8 @@ from ..sources.log import MutationLog, State
 from . import planner
 from .sizes import broadcast_if_small
 
+logger = logging.getLogger(__name__)
+
 NO_POINTS = "there is no point to find"
 
 
@@ -39,6 +42,8 @@ class Counters:
     index_builds: int = 0
     writes: int = 0
     rejected: int = 0
+    snapshots: int = 0
+    snapshot_failures: int = 0
 
     def hit_ratio(self) -> float:
         return self.index_hits / self.index_lookups if self.index_lookups else 0.0
@@ -52,6 +57,8 @@ class Engine:
         self._state: tuple[int, State, dict[str, tuple[int, bool]], dict[str, int]] | None = None
         self._indexes: dict[str, ivf.IvfIndex] = {}
         self._built: dict[str, float] = {}
+        #: False from a snapshot that failed to the next that doesn't. Batches are stored by then, so nothing is lost, but the log grows.
+        self.ready = True
 
     # state
 
@@ -89,7 +96,7 @@ class Engine:
         self.counters.writes += 1
         for name in touched:
             self._indexes.pop(name, None)
-        self.log.compact_if_due()
+        self._snapshot_if_due()
         state = self.log.load()
         if touched and state.version == self._state[0] + 1:  # nobody else has written
             name = touched[0]
@@ -102,6 +109,19 @@ class Engine:
             self._state = (state.version, state, known, counts)
         return state.version
 
+    def _snapshot_if_due(self) -> None:
+        """A snapshot that fails leaves the write as it is, since the log holds it; the next write tries again."""
+        try:
+            done = self.log.compact_if_due()
+        except Exception:  # noqa: BLE001  whatever the storage or Spark raises
+            logger.exception("the snapshot has failed; the state is that of the log")
+            self.counters.snapshot_failures += 1
+            self.ready = False
+            return
+        if done:
+            self.counters.snapshots += 1
+            self.ready = True
+
     @staticmethod
     def _row(ord_: int, op: str, name: str, id_: int | None = None, dimension: int | None = None, strict: bool | None = None, values=None, payload=None) -> tuple:
         return (0, ord_, op, name, id_, dimension, strict, values, payload)
@@ -343,6 +363,7 @@ class Engine:
             "version": version, "log_segments": backlog["segments"], "log_bytes": backlog["bytes"], "snapshot_version": backlog["snapshot_version"],
             "searches_exact": c.searches["exact"], "searches_ivf": c.searches["ivf"], "ivf_fallbacks": c.ivf_fallbacks, "index_lookups": c.index_lookups,
             "index_hits": c.index_hits, "index_hit_ratio": c.hit_ratio(), "index_builds": c.index_builds, "writes": c.writes, "rejected": c.rejected,
+            "snapshots": c.snapshots, "snapshot_failures": c.snapshot_failures, "ready": self.ready, "tenants": len({n.split("::")[0] for n in known if "::" in n}), "indexes": len(self._indexes),
         }
         return self.spark.createDataFrame([(k, float(v)) for k, v in rows.items()], "metric string, value double")
 

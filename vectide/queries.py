@@ -14,6 +14,7 @@ from .model import CREATE, DELETE, MUTATION_KINDS, MUTATIONS, PAYLOAD, REMOVE, U
 from .operators import ivf, mutations, paging, quotas, reports
 from .operators.search import among, scored, top_1, top_k, top_k_batch, with_payload
 from .plans import planner
+from .plans.engine import Engine
 from .plans.workdir import new_folder
 from .sources import backup, ndjson, records
 from .sources.log import MutationLog
@@ -537,6 +538,71 @@ def stream_rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.newest(spark, f"{root}/out").select("tenant", F.unix_timestamp("minute").alias("minute"), "admitted", "rejected")
 
 
+# the engine
+
+
+_engines: dict[tuple, tuple[Engine, str]] = {}
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine of the queries, filled once for each session and table, and only read since."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _engines or not Store(spark, _engines[key][1]).exists("log"):
+        root = new_folder(spark, "engine")
+        _engines[key] = _filled(spark, sf_dir, root), root
+    return _engines[key][0]
+
+
+def _filled(spark: SparkSession, sf_dir: str, root: str) -> Engine:
+    """Tenant a has the embeddings, even ids upserted once more with their values reversed, id 5 deleted, ids 6 and 7 with payloads changed;
+    b has a collection of that name that was deleted and created again with one point, and an empty one of two dimensions."""
+    engine = Engine(spark, root)
+    own = embeddings(spark, sf_dir)
+    own = own.select("id", "values", P.from_columns(own.schema, ["label"]).alias("payload"))
+    for tenant in ("a", "b"):
+        engine.create_collection("docs", 64, tenant=tenant)
+        engine.upsert_frame("docs", own, tenant)
+    engine.upsert_frame("docs", own.where("id % 2 = 0").withColumn("values", F.reverse("values")), "a")
+    engine.delete_point("docs", 5, "a")
+    engine.set_payload("docs", [6], {"label": 60}, "a")
+    engine.delete_payload_keys("docs", [7], ["label"], "a")
+    engine.delete_collection("docs", "b")
+    engine.create_collection("docs", 64, tenant="b")
+    engine.create_collection("pairs", 2, tenant="b")
+    engine.upsert_points("docs", [(7, [0.5] * 64, {"label": 1}), (7, [1.5] * 64, {"label": 2})], "b")
+    return engine
+
+
+def engine_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points of both tenants; label -1 where the payload has none."""
+    engine = _engine(spark, sf_dir)
+    each = lambda t: engine.points("docs", t).select(F.lit(t).alias("tenant"), "id", F.col("values")[0].cast("double").alias("first"), F.col("values")[63].cast("double").alias("last"), F.coalesce(F.col("payload")["label"]["i"], F.lit(-1)).alias("label"))
+    return each("a").unionByName(each("b"))
+
+
+def engine_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each tenant lists, with the counts that the engine carries along."""
+    engine = _engine(spark, sf_dir)
+    rows = [(t, c["name"], c["dimension"], c["strict_finite"], c["point_count"], engine.count_points(c["name"], tenant=t)) for t in ("a", "b") for c in engine.list_collections(t)]
+    return spark.createDataFrame(rows, "tenant string, name string, dimension int, strict_finite boolean, carried long, counted long")
+
+
+def engine_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered batches of at most max_queries through the engine, for every twentieth embedding."""
+    engine = _engine(spark, sf_dir)
+
+    def search(block: DataFrame) -> DataFrame:
+        asked = [(r["qid"], list(r["q"])) for r in block.collect()]
+        rows, most = [], engine.limits.max_queries
+        for at in range(0, len(asked), most):
+            part = asked[at : at + most]
+            found = engine.search_topk_batch("docs", [q for _, q in part], "l2", 5, filter={"must": [{"field": "label", "gte": 3}]}, tenant="a")
+            rows += [(qid, rank, h["id"], h["value"], h["payload"]["label"]) for (qid, _), answer in zip(part, found, strict=True) for rank, h in enumerate(answer["hits"], 1)]
+        return spark.createDataFrame(rows, "qid long, rank int, id long, value double, label long")
+
+    return in_blocks(every(embeddings(spark, sf_dir)), search, "engine-hits")
+
+
 def late_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits first, their payload columns afterwards."""
     points = embeddings(spark, sf_dir)
@@ -558,6 +624,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_batch_filtered": topk_batch_filtered,
     **{f.__name__: f for f in (topk_candidates, centroid_means, nearest_centroid)},
     "late_payload": late_payload,
+    **{f.__name__: f for f in (engine_points, engine_collections, engine_batch)},
     **{f.__name__: f for f in (count_points, count_filtered, list_offset, list_after, list_total, point_get, collections_list)},
     **{f.__name__: f for f in (ivf_full_probe_l2, ivf_default_probe, ivf_filtered_dot, recall_at_10, ivf_probe_count, ivf_list_sizes, ivf_given_lists, ivf_given_probe, ivf_given_recall, planner_choices)},
     **{f.__name__: f for f in (log_fold, log_store_fold, log_created_flags, log_faults, log_lives, payload_set, payload_delete)},
