@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import invalid
 from ..model import Metric
 from ..shipping import ship
+from . import blocks
 from .search import best_of_each, candidates, scored
 
 
@@ -174,7 +175,11 @@ def probe_count(index: IvfIndex, limit: int, target_recall: float | None = None)
 def probes(index: IvfIndex, queries: Sequence[Sequence[float]], probe: int) -> list[list[int]]:
     """The nearest lists of each query; ties to the lowest list."""
     q = np.array(queries, np.float64).reshape(len(queries), index.centroids.shape[1])
-    return np.argsort(exact_distances(q, index.centroids), axis=1, kind="stable")[:, :probe].tolist()
+    return nearest_lists(q, index.centroids, probe).tolist()
+
+
+def nearest_lists(q: np.ndarray, centroids: np.ndarray, probe: int) -> np.ndarray:
+    return np.argsort(exact_distances(q, centroids), axis=1, kind="stable")[:, :probe]
 
 
 def search_batch(index: IvfIndex, queries: Sequence[tuple[int, Sequence[float]]], metric: Metric, k: int, target_recall: float | None = None, where: Column | None = None, *, strict_finite: bool = True) -> DataFrame:
@@ -191,3 +196,23 @@ def search_batch(index: IvfIndex, queries: Sequence[tuple[int, Sequence[float]]]
     own = index.lists.where(F.col("list_id").isin(sorted(asked)))
     pairs = candidates(own if where is None else own.where(where), queries, metric, k, asked)
     return best_of_each(scored(pairs, F.col("q"), metric, None, strict_finite), metric, k)
+
+
+def search_all(index: IvfIndex, queries: DataFrame, metric: Metric, k: int, target_recall: float | None = None, where: Column | None = None, *, strict_finite: bool = True) -> DataFrame:
+    """qid, rank, id and value of the best of the probed lists, for any number of queries (qid, q). Within the lists only blocks are read
+    whose boxes may hold one of the k best, so the result is that of search_batch."""
+    ship(queries.sparkSession)
+    probe = probe_count(index, k, target_recall)
+    restricted = probe < index.nlist
+    centroids, d = index.centroids, index.centroids.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = blocks.vectors(batch.column(1), d).astype(np.float64)
+            lists = nearest_lists(q, centroids, probe if restricted else 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(lists), pa.list_(pa.int32()))], names=["qid", "q", "lists"])
+
+    own = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("q").cast("array<float>").alias("q")).where(F.size("q") == d)
+    asked = own.mapInArrow(run, "qid bigint, q array<float>, lists array<int>")
+    points = index.lists if where is None else index.lists.where(where)
+    return blocks.search_all(points, asked, metric, k, n_lists=index.nlist, restricted=restricted, strict_finite=strict_finite)
