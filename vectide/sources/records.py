@@ -9,6 +9,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ RECORD = "type string, version int, name string, dimension int, strict_finite bo
 MAX_FRAME = 64 << 20
 FRAME = struct.Struct("<II")
 #: Frames of an Arrow batch; bytes of a segment that is written, as a segment is read by one task.
-FRAMES, SEGMENT = 10_000, 256 << 20
+FRAMES, SEGMENT = 10_000, 32 << 20
 
 
 def parsed(text: Column) -> Column:
@@ -82,7 +83,7 @@ def read_json_log(spark: SparkSession, path: str, version: int = 1) -> DataFrame
     return checked(own, good, cut, "log").select(*as_mutation(F.lit(version), F.col("ord")))
 
 
-def frames(data: bytes, magic: bytes | None = None) -> Iterator[tuple[int, bytes]]:
+def frames(data: bytes | memoryview, magic: bytes | None = None) -> Iterator[tuple[int, bytes | memoryview]]:
     """Number and payload of each frame: an 8-byte header, then length and CRC-32 (both 32-bit, little endian) before each
     payload. A last frame that is cut off ends the log; a wrong checksum or length raises."""
     if len(data) < 8:
@@ -116,15 +117,13 @@ def framed(payloads: list[bytes], magic: bytes) -> bytes:
 
 def read_binary_log(spark: SparkSession, path: str, magic: bytes | None = None, version: int = 1) -> DataFrame:
     """Mutations of a framed log: a file, or a folder of segments in the order of their names. One file is one task, as its frames can only
-    be found from its start. ord numbers the frames."""
+    be found from its start; its frames go on in batches, so a task holds the file and one batch. ord numbers the frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = list(frames(content.as_py(), magic))
-                for at in range(0, len(found), FRAMES):
-                    some = found[at : at + FRAMES]
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(some), pa.string()), pa.array([n for n, _ in some], pa.int64()), pa.array([p.decode() for _, p in some], pa.string())], names=["file", "row", "value"])
+                for some in batched(frames(memoryview(content.as_buffer()), magic), FRAMES):
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(some), pa.string()), pa.array([n for n, _ in some], pa.int64()), pa.array([str(p, "utf-8") for _, p in some], pa.string())], names=["file", "row", "value"])
 
     ship(spark)
     own = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row bigint, value string")
