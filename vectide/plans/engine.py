@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from ..errors import EngineError, conflict, exhausted, invalid, not_found
 from ..functions import filters as filters_
 from ..functions import payload as P
-from ..functions.vector import ZERO_NORM, all_finite, check_vector, distance
+from ..functions.vector import ZERO_NORM, all_finite, check_vector, distance, squared_norm
 from ..model import CREATE, DELETE, MUTATIONS, PAYLOAD, REMOVE, UPSERT, Limits, Metric, Mode, collection_name, enum_of, scoped
 from ..operators import ivf, mutations, paging, quotas
-from ..operators.search import top_k, top_k_batch
+from ..operators.blocks import search_all
+from ..operators.search import top_k, top_k_batch, with_payload
 from ..sources import ndjson
 from ..sources.log import MutationLog, State
 from . import planner
@@ -351,6 +352,26 @@ class Engine:
             raise invalid(f"a batch has 1 to {self.limits.max_queries} queries")
         return self._answers(self._search(name, queries, metric, limit, mode, target_recall, filter, tenant, True), include_payload, len(queries))
 
+    def search_frame(self, name: str, queries: DataFrame, metric: str = "dot", limit: int | None = None, filter: Mapping | None = None, tenant: str | None = None) -> DataFrame:
+        """qid, rank, id, value and payload of the exact best points of each query (qid, q), of any number: one search in a fixed number of jobs.
+        Queries are checked by one aggregation; a bad one refuses all."""
+        metric = enum_of(Metric, metric)
+        k = planner.limit_of(limit, self.limits)
+        stored, dimension, strict = self._config(name, tenant)
+        if not self._load()[3][stored]:
+            raise invalid(NO_POINTS)
+        own = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("q").cast("array<float>").alias("q"))
+        bad = F.col("qid").isNull() | F.col("q").isNull() | (F.size("q") != dimension) | ~all_finite(F.col("q"))
+        if metric == Metric.COSINE:
+            bad = bad | (squared_norm(F.col("q")) <= ZERO_NORM)
+        n, wrong = own.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(bad, F.lit(True)).cast("bigint")), F.lit(0))).first()
+        if wrong:
+            raise invalid(f"{wrong} queries have a wrong dimension or value")
+        self.counters.searches[Mode.EXACT.value] += n
+        points, where = self.points(name, tenant), self._where(filter)
+        hits = search_all(points if where is None else points.where(where), own, metric, k, strict_finite=strict)
+        return with_payload(hits, points, "payload")
+
     # operations
 
     def metrics(self) -> DataFrame:

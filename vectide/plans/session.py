@@ -8,7 +8,7 @@ from collections.abc import Callable, Collection
 from ..errors import EngineError, exhausted
 from .engine import Engine
 
-READS = frozenset({"list_collections", "get_collection", "points", "get_point", "list_points", "count_points", "search", "search_topk", "search_topk_batch", "export", "index_due"})
+READS = frozenset({"list_collections", "get_collection", "points", "get_point", "list_points", "count_points", "search", "search_topk", "search_topk_batch", "search_frame", "export", "index_due"})
 WRITES = frozenset({"create_collection", "delete_collection", "upsert_point", "upsert_points", "upsert_frame", "delete_point", "set_payload", "delete_payload_keys", "build_index", "import_"})
 #: Calls that touch no collection.
 FREE = frozenset({"distance"})
